@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from declarium.llm import leaks, tokens
+from declarium.llm import leaks, terms, tokens
 from declarium.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.found(table(spark, folder, "items"))
+
+
+def p3_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.frequencies(table(spark, folder, "items"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -21,8 +29,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p3_found": p3_found, "p3_frequencies": p3_frequencies, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": terms.FOUND_SQL, "p3_frequencies": terms.FREQUENCIES_SQL}
