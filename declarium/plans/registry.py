@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from declarium.operators import nested
+from declarium.sources import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.found(table(spark, folder, "index_docs"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
