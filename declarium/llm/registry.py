@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from declarium.llm import leaks, terms, tokens
+from declarium.llm import leaks, similar, terms, tokens
 from declarium.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.found(table(spark, folder, "raw_decls"))
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.classes(table(spark, folder, "raw_decls"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.found(table(spark, folder, "items"))
 
@@ -29,7 +37,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_frequencies": p3_frequencies, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p7_ids": p7_ids, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
