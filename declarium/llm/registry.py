@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from declarium.llm import leaks, similar, terms, tokens
+from declarium.llm import leaks, quality, similar, terms, tokens
 from declarium.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.found(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.outlierness(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p7_ids": p7_ids, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
