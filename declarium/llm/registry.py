@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from declarium.llm import leaks, provenance, quality, similar, terms, tokens
+from declarium.llm import leaks, parsing, provenance, quality, similar, terms, tokens
 from declarium.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.report(table(spark, folder, "source_files"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.found(table(spark, folder, "source_files"))
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.rates(table(spark, folder, "source_files"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -53,7 +61,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p4_found": p4_found, "p4_report": p4_report, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1 @@
+"""Token streams, grammars and the derivative parser of the supported languages."""
