@@ -372,7 +372,12 @@ def _sh_class(t: str) -> str:
 _SH_CLASSES = _Classes(_sh_class)
 
 
-def _without_heredocs(text: str) -> str:
+def blank_heredocs(text: str) -> str:
+    """The text with blanks in place of its here-documents, so that all offsets stay."""
+    return _without_heredocs(text, blank=True)
+
+
+def _without_heredocs(text: str, blank: bool = False) -> str:
     """The text without the bodies of its here-documents; a body that never ends goes to the end."""
     if "<<" not in text:
         return text
@@ -382,6 +387,8 @@ def _without_heredocs(text: str) -> str:
             dash, word = waiting[0]
             if (line.lstrip("\t") if dash else line) == word:
                 waiting.pop(0)
+            if blank:
+                out.append(" " * len(line))
             continue
         bare = line
         if "<<" in line and not line.lstrip().startswith("#"):
@@ -389,7 +396,7 @@ def _without_heredocs(text: str) -> str:
                 if line[: m.start()].count('"') % 2 == 0 and not re.search(r"\(\([^)]*$", line[: m.start()]):
                     waiting.append((m.group(1), m.group(2) or m.group(3) or m.group(4)))
             if waiting:
-                bare = _SH_HEREDOC.sub("<<", line)
+                bare = _SH_HEREDOC.sub(lambda m: "<<" + " " * (len(m.group(0)) - 2), line)
         out.append(bare)
     return "\n".join(out)
 
@@ -401,6 +408,23 @@ def bash(text: str) -> list[str]:
     return [get(m) for m in (x.group("t") for x in SHELL.finditer(_without_heredocs(text))) if m]
 
 
+def go_semicolons(found: list[str]) -> list[str]:
+    """The classes with a semicolon where a line ends after a token that can end a statement."""
+    out: list[str] = []
+    last = ""
+    for c in found:
+        if c == "NL":
+            if last in _GO_ENDS:
+                out.append(";")
+            last = ""
+        else:
+            out.append(c)
+            last = c
+    if last in _GO_ENDS:
+        out.append(";")
+    return out
+
+
 # All ---------------------------------------------------------------------------------------------
 
 
@@ -420,19 +444,7 @@ def tokens(language: str, text: str) -> list[str]:
     if language == "bash":
         return bash(text)
     if language == "go":
-        out: list[str] = []
-        last = ""
-        for c in _flat(GO, _GO_CLASSES, text):
-            if c == "NL":
-                if last in _GO_ENDS:
-                    out.append(";")
-                last = ""
-            else:
-                out.append(c)
-                last = c
-        if last in _GO_ENDS:
-            out.append(";")
-        return out
+        return go_semicolons(_flat(GO, _GO_CLASSES, text))
     if language == "rust":
         return _flat(RUST, _RS_CLASSES, text)
     if language == "java":
