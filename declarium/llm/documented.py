@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from declarium.llm import parsing
 from declarium.llm.syntax import lexers, trees
-from declarium.sources import columns, latest
+from declarium.sources import columns
 
 #: Words that documentation must hold besides those of the function's own name.
 TELLING = 4
@@ -75,28 +75,25 @@ def telling(doc: str | None, name: str, least: int = TELLING) -> str | None:
     return "\n".join(lines) if n >= least else None
 
 
-def declarations(language: str, text: str) -> list[trees.Declaration] | None:
-    """Function nodes of a ``plain`` text, or None if it does not parse."""
+def documented(language: str, text: str) -> list[tuple[trees.Declaration, str]]:
+    """Function nodes of a ``plain`` text with what their comments say; none if it does not parse."""
     if language == "python":
-        if parsing.failure(language, text) is not None and not parsing._own_parser_takes(text):
-            return None
-        return trees.python_tree(text)
-    if language == "bash":
-        return trees.shell_tree(text) if parsing.parses(language, text) else None
-    source = trees.cut(language, text)
-    g = parsing.grammar(language)
+        found = trees.python_tree(text) or []
+        return [(d, says) for d in found if d.doc and (says := telling(d.doc, d.name))]
+    source = trees.shell_cut(text) if language == "bash" else trees.cut(language, text)
+    if not source.comments:
+        return []
     stream = trees.stream(language, source)
-    at = g.run_inserting(stream, parsing._RESTRICTED) if language in ("javascript", "typescript") else g.run(stream)
-    return trees.script_like(language, source) if at < 0 else None
-
+    g = parsing.grammar(language)
+    at = g.run_inserting(stream, parsing.RESTRICTED) if language in ("javascript", "typescript") else g.run(stream)
+    if at >= 0:
+        return []
+    found = trees.shell_tree(source) if language == "bash" else trees.script_like(language, source)
+    return [(d, says) for d in found if d.doc and (says := telling(d.doc, d.name))]
 
-def pairs(files: DataFrame) -> DataFrame:
-    """(file_id bigint, project, language, name string, start_line, end_line int, doc, body_text string).
 
-    One row per function or method with a body and telling documentation, in files that parse.
-    ``start_line`` is the line on which the name stands, from 1. A file counts once, by its latest
-    ``loaded_at``; null and empty texts, endings of no known language and rows without an id give no rows.
-    """
+def _rows(files: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` for each delivered row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,23 +103,31 @@ def pairs(files: DataFrame) -> DataFrame:
                 if language is None or not content:
                     continue
                 text = lexers.plain(content)
-                found = declarations(language, text)
+                found = documented(language, text)
                 if not found:
                     continue
-                lines = None
-                for d in found:
-                    says = telling(d.doc, d.name) if d.doc else None
-                    if says is not None:
-                        lines = lines or [0, *[m.end() for m in re.finditer("\n", text)]]
-                        rows.append((key, project, language, d.name, bisect_right(lines, d.name_at), bisect_right(lines, max(d.start, d.end - 1)), says, text[d.start : d.end]))
+                lines = [0, *[m.end() for m in re.finditer("\n", text)]]
+                for d, says in found:
+                    rows.append((key, project, language, d.name, bisect_right(lines, d.name_at), bisect_right(lines, max(d.start, d.end - 1)), says, text[d.start : d.end]))
                 if len(rows) > 2_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    rows = columns(files, "file_id", "project", "file", "content", "loaded_at")
-    once = latest(rows, ["file_id"], "loaded_at").select("file_id", "project", "file", "content")
-    return once.mapInArrow(run, "file_id bigint, project string, language string, name string, start_line int, end_line int, doc string, body_text string")
+    rows = columns(files, "file_id", "project", "file", "content").where("file_id IS NOT NULL AND content IS NOT NULL")
+    return rows.mapInArrow(run, "file_id bigint, project string, language string, name string, start_line int, end_line int, doc string, body_text string")
+
+
+def pairs(files: DataFrame) -> DataFrame:
+    """(file_id bigint, start_line int, name, project, language string, end_line int, doc, body_text string).
+
+    One row per function or method with a body and telling documentation, in files that parse.
+    ``start_line`` is the line on which the name stands, from 1. A file that is delivered more than
+    once gives its rows once; should deliveries differ, it gives those of each. Null and empty texts,
+    endings of no known language and rows without an id give no rows.
+    """
+    best = F.max(F.struct("project", "language", "end_line", "doc", "body_text")).alias("r")
+    return _rows(files).groupBy("file_id", "start_line", "name").agg(best).select("file_id", "start_line", "name", "r.*")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -134,4 +139,4 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def found(files: DataFrame) -> DataFrame:
     """(file_id bigint, start_line int, name string) of ``pairs``."""
-    return pairs(files).select("file_id", "start_line", "name").distinct()
+    return _rows(files).select("file_id", "start_line", "name").distinct()

@@ -21,7 +21,8 @@ from declarium.llm.syntax import grammars, lexers
 from declarium.llm.syntax.derive import Grammar
 from declarium.sources import columns
 
-_RESTRICTED = frozenset(["return", "break", "continue", "throw"])
+#: Tokens after which a line break ends the statement.
+RESTRICTED = frozenset(["return", "break", "continue", "throw"])
 _GRAMMARS: dict[str, Grammar] = {}
 
 
@@ -39,7 +40,7 @@ def failure(language: str, text: str) -> tuple[str, int, int] | None:
     """None for a valid text; else (``token`` or ``truncated``, place of the token, number of tokens)."""
     found = lexers.tokens(language, lexers.plain(text))
     g = grammar(language)
-    at = g.run_inserting(found, _RESTRICTED) if language in ("javascript", "typescript") else g.run(found)
+    at = g.run_inserting(found, RESTRICTED) if language in ("javascript", "typescript") else g.run(found)
     if at < 0:
         return None
     return ("truncated" if at >= len(found) else "token"), at, len(found)

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from declarium.llm import leaks, parsing, provenance, quality, similar, terms, tokens
+from declarium.llm import documented, leaks, parsing, provenance, quality, similar, terms, tokens
 from declarium.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return documented.found(table(spark, folder, "source_files"))
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return documented.pairs(table(spark, folder, "source_files"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar.found(table(spark, folder, "raw_decls"))
 
@@ -61,7 +69,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import re
 
-import regex
-
 #: Language by file ending.
 ENDINGS = {
     "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
@@ -31,17 +29,26 @@ def plain(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
+#: Class of comments; they are no tokens, but documentation.
+COMMENT = "//"
+
+
 class _Classes(dict):
-    """Token class by token text; bounded, as literals differ without end."""
+    """Class of a piece of text, by the piece: None for blanks. Bounded, as literals differ without end."""
 
-    def __init__(self, classify):
+    def __init__(self, classify, comments: tuple[str, ...] = ()):
         super().__init__()
-        self.classify = classify
+        self.classify, self.comments = classify, comments
 
     def __missing__(self, text: str) -> str | None:
-        if len(self) > 100_000:
+        if len(self) > 150_000:
             self.clear()
-        found = self[text] = self.classify(text)
+        bare = text.rstrip(" \t\f\v\r") if text[:1] == "\n" else text.rstrip()
+        if self.comments and bare.startswith(self.comments):
+            found = COMMENT
+        else:
+            found = self.classify(bare)
+        self[text] = found
         return found
 
 
@@ -146,7 +153,7 @@ _JS_REGEX = r"(?:(?<=[=(,:!&|?{};\[\n+*%<>~^])|(?<=[=(,:!&|?{};\[\n+*%<>~^] )|(?
 _JS_TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`"
 # the expression literal comes before blanks, so that it sees what stands before it
 JS = re.compile(
-    rf"//[^\n]*|\A\#![^\n]*|{_BLOCK}|({_JS_REGEX}|\n|(?:[A-Za-z_$]|[^\W\d])[\w$]*|\#[A-Za-z_$][\w$]*|{_JS_NUMBER}|'(?:[^'\\\n]|\\.|\\\n)*'|\"(?:[^\"\\\n]|\\.|\\\n)*\"|{_JS_TEMPLATE}"
+    rf"//[^\n]*|\A\#![^\n]*|{_BLOCK}|(?:{_JS_REGEX}|\n|(?:[A-Za-z_$]|[^\W\d])[\w$]*|\#[A-Za-z_$][\w$]*|{_JS_NUMBER}|'(?:[^'\\\n]|\\.|\\\n)*'|\"(?:[^\"\\\n]|\\.|\\\n)*\"|{_JS_TEMPLATE}"
     r"|=>|\.\.\.|===?|!==?|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.(?!\d)|\+\+|--|<<=?|<=|[-+*/%&|^]=|\S)[^\S\n]*|[^\S\n]+",
     re.S,
 )
@@ -203,12 +210,13 @@ def _js_class(typed: bool):
     return classify
 
 
-_SCRIPT = {False: _Classes(_js_class(False)), True: _Classes(_js_class(True))}
+_SLASHES = ("//", "/*")
+_SCRIPT = {typed: _Classes(_js_class(typed), (*_SLASHES, "#!")) for typed in (False, True)}
 
 
 _GO_NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?i?|\.\d[\d_]*(?:[eE][+-]?\d+)?i?)(?!\w)"
 GO = re.compile(
-    rf"//[^\n]*|{_BLOCK}|(\n|{_ID}|{_GO_NUMBER}|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:x..|u.{{4}}|U.{{8}}|\d{{3}}|.))'|\.\.\.|:=|\+\+|--|<-|&&|\|\||<<=?|>>=?|&\^=?|[-+*/%&|^<>=!]=|\S)[^\S\n]*|[^\S\n]+",
+    rf"//[^\n]*|{_BLOCK}|(?:\n|{_ID}|{_GO_NUMBER}|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\(?:x..|u.{{4}}|U.{{8}}|\d{{3}}|.))'|\.\.\.|:=|\+\+|--|<-|&&|\|\||<<=?|>>=?|&\^=?|[-+*/%&|^<>=!]=|\S)[^\S\n]*|[^\S\n]+",
     re.S,
 )
 _GO_KEY = _words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var")
@@ -239,11 +247,11 @@ def _go_class(t: str) -> str | None:
     return "ID" if c == "_" or c.isalpha() else "BAD"
 
 
-_GO_CLASSES = _Classes(_go_class)
+_GO_CLASSES = _Classes(_go_class, _SLASHES)
 
 _RS_NUMBER = r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[ui](?:8|16|32|64|128|size)|f32|f64)?(?!\w)"
 RUST = re.compile(
-    rf"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/|(b?r(\#*)\".*?\"\2|[bc]?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\(?:x..|u\{{[^}}]*\}}|[^xu]))'|'{_ID}(?!')|(?:r\#)?{_ID}|{_RS_NUMBER}|\.\.=|\.\.\.|\.\.|::|->|=>|&&|\|\||<<=|<=|<<|[-+*/%&|^=!]=|\S)\s*|\s+",
+    rf"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/|(?:b?r\"[^\"]*\"|b?r\#\".*?\"\#|b?r\#\#\".*?\"\#\#|[bc]?\"(?:[^\"\\]|\\.)*\"|b?'(?:[^'\\\n]|\\(?:x..|u\{{[^}}]*\}}|[^xu]))'|'{_ID}(?!')|(?:r\#)?{_ID}|{_RS_NUMBER}|\.\.=|\.\.\.|\.\.|::|->|=>|&&|\|\||<<=|<=|<<|[-+*/%&|^=!]=|\S)\s*|\s+",
     re.S,
 )
 _RS_KEY = _words("as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait type unsafe use where while _")
@@ -252,7 +260,7 @@ _RS_PUNCT = _words(".. ..= ... :: -> => && || + - * & | < > = ! , ; . : ? # @ $
 
 
 def _rs_class(t: str) -> str | None:
-    if not t:
+    if not t or t[0] == "\n":
         return None
     c = t[0]
     if t in _RS_KEY or t in _RS_PUNCT:
@@ -272,11 +280,11 @@ def _rs_class(t: str) -> str | None:
     return "ID" if c == "_" or c.isalpha() else "BAD"
 
 
-_RS_CLASSES = _Classes(_rs_class)
+_RS_CLASSES = _Classes(_rs_class, _SLASHES)
 
 _JAVA_NUMBER = r"(?:0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?|(?:\d[\d_]*)?\.\d[\d_]*(?:[eE][+-]?\d+)?[fFdD]?|\d[\d_]*\.?(?:[eE][+-]?\d+)?[fFdDlL]?)(?!\w)"
 JAVA = re.compile(
-    rf"//[^\n]*|{_BLOCK}|(\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:u+.{{4}}|[0-7]{{1,3}}|.))'|(?:[A-Za-z_$]|[^\W\d])[\w$]*|{_JAVA_NUMBER}|\.\.\.|::|->|\+\+|--|&&|\|\||<<=?|<=|[=!]=|[-+*/%&|^]=|\S)\s*|\s+",
+    rf"//[^\n]*|{_BLOCK}|(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\(?:u+.{{4}}|[0-7]{{1,3}}|.))'|(?:[A-Za-z_$]|[^\W\d])[\w$]*|{_JAVA_NUMBER}|\.\.\.|::|->|\+\+|--|&&|\|\||<<=?|<=|[=!]=|[-+*/%&|^]=|\S)\s*|\s+",
     re.S,
 )
 _JAVA_KEY = _words("assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface new package return static super switch synchronized this throw throws try void while record var yield sealed permits module when")
@@ -288,7 +296,7 @@ _JAVA_PUNCT = _words("... :: -> ++ -- & < > = ? , ; . : @ ( ) [ ] { }")
 
 
 def _java_class(t: str) -> str | None:
-    if not t:
+    if not t or t[0] == "\n":
         return None
     c = t[0]
     if t in _JAVA_KEY:
@@ -322,28 +330,39 @@ def _java_class(t: str) -> str | None:
     return "ID" if c in "_$" or c.isalpha() else "BAD"
 
 
-_JAVA_CLASSES = _Classes(_java_class)
+_JAVA_CLASSES = _Classes(_java_class, _SLASHES)
 
 # Shell -------------------------------------------------------------------------------------------
 
 _SH_HEREDOC = re.compile(r"(?<!<)<<(-?)(?!<)[ \t]*(?:'([^'\n]+)'|\"([^\"\n]+)\"|\\?([\w.-]+))")
-SHELL = regex.compile(
-    r"""
-    (?(DEFINE)(?P<paren>\((?:[^()'"`\\]|\\.|'[^']*'|(?&dq)|(?&bt)|(?&paren))*\))
-      (?P<dq>"(?:[^"\\$`]|\\.|\$(?![({])|(?&exp)|(?&bt))*")
-      (?P<bt>`(?:[^`\\]|\\.)*`)
-      (?P<exp>\$(?&paren)|\$\{(?:[^{}'"`\\$]|\\.|'[^']*'|(?&dq)|(?&bt)|(?&exp)|\$)*\}))
-    [ \t]+ | \\\n | (?<![^\s;&|()])\#[^\n]*
-    | (?P<t> \n | ;;&? | ;& | \|\| | && | \|& | [;&|]
-      | \d*(?:<<<|<<-?|<>|>>|>\||<&|>&|[<>])(?!\() | &>>?
-      | \(\((?:[^()'"]|(?&paren)|"[^"]*"|'[^']*')*\)\)
-      | [A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=\((?=[^(])
-      | [()]
-      | (?:[^\s'"\\$`;&|<>()] | \\. | '[^']*' | (?&dq) | (?&bt) | (?&exp) | \$'(?:[^'\\]|\\.)*' | \$(?![('{]) | [<>]\((?:[^()]|(?&paren))*\) )+
-      | . )
-    """,
-    regex.X | regex.S,
-)
+
+
+def _shell_pattern(depth: int) -> re.Pattern:
+    """The token pattern, with quotes and substitutions inside each other down to ``depth`` levels."""
+    back = r"`(?:[^`\\]|\\.)*+`"
+    quoted = r"\"(?:[^\"\\]|\\.)*+\""
+    paren = rf"\((?:[^()'\"`\\]|\\.|'[^']*'|{quoted}|{back})*+\)"
+    for _ in range(depth):
+        brace = rf"\$\{{(?:[^{{}}'\"`\\$]|\\.|'[^']*'|{quoted}|{back}|\${paren}|\$\{{[^{{}}]*\}}|\$)*+\}}"
+        quoted = rf"\"(?:[^\"\\$`]|\\.|\${paren}|{brace}|\$(?![({{])|{back})*+\""
+        paren = rf"\((?:[^()'\"`\\]|\\.|'[^']*'|{quoted}|{back}|{paren})*+\)"
+    return re.compile(
+        rf"""
+        (?<![^\s;&|()])\#[^\n]*
+        | (?P<t> \n | ;;&? | ;& | \|\| | && | \|& | [;&|](?!>)
+          | \d*(?:<<<|<<-?|<>|>>|>\||<&|>&|[<>])(?!\() | &>>?
+          | \(\((?:[^()'\"]|{paren}|\"[^\"]*\"|'[^']*')*+\)\)
+          | [A-Za-z_]\w*(?:\[[^\]\n]*\])?\+?=\((?=[^(])
+          | [()]
+          | (?:[^\s'\"\\$`;&|<>()]+ | \\. | '[^']*' | {quoted} | {back} | \${paren} | {brace} | \$'(?:[^'\\]|\\.)*' | \$(?![('{{]) | [<>]{paren} )+
+          | \S )[ \t]*
+        | [ \t]+ | \\\n
+        """,
+        re.X | re.S,
+    )
+
+
+SHELL = _shell_pattern(2)
 _SH_KEY = _words("if then elif else fi for in do done while until case esac function { } ! time select [[ ]]")
 
 
@@ -370,6 +389,7 @@ def _sh_class(t: str) -> str:
 
 
 _SH_CLASSES = _Classes(_sh_class)
+shell_class = _SH_CLASSES.__getitem__
 
 
 def blank_heredocs(text: str) -> str:
@@ -405,7 +425,7 @@ def bash(text: str) -> list[str]:
     if text[:2] == "#!":
         text = text[text.find("\n") :] if "\n" in text else ""
     get = _SH_CLASSES.__getitem__
-    return [get(m) for m in (x.group("t") for x in SHELL.finditer(_without_heredocs(text))) if m]
+    return [get(t) for t in SHELL.findall(_without_heredocs(text)) if t]
 
 
 def go_semicolons(found: list[str]) -> list[str]:
@@ -428,13 +448,21 @@ def go_semicolons(found: list[str]) -> list[str]:
 # All ---------------------------------------------------------------------------------------------
 
 
-def _flat(pattern: re.Pattern, classes: _Classes, text: str) -> list[str]:
-    """Classes of all tokens; what no token takes is ``BAD``."""
+def _pieces(language: str) -> tuple[re.Pattern, _Classes]:
+    return {
+        "go": (GO, _GO_CLASSES),
+        "rust": (RUST, _RS_CLASSES),
+        "java": (JAVA, _JAVA_CLASSES),
+        "javascript": (JS, _SCRIPT[False]),
+        "typescript": (JS, _SCRIPT[True]),
+    }[language]
+
+
+def pieces(language: str, text: str) -> tuple[list[str | None], list[str]]:
+    """The text cut without a gap into tokens with the blanks after them, comments and blanks; and their classes."""
+    pattern, classes = _pieces(language)
     found = pattern.findall(text)
-    get = classes.__getitem__
-    if found and isinstance(found[0], tuple):
-        found = [x[0] for x in found]
-    return [c for c in map(get, found) if c]
+    return list(map(classes.__getitem__, found)), found
 
 
 def tokens(language: str, text: str) -> list[str]:
@@ -443,10 +471,5 @@ def tokens(language: str, text: str) -> list[str]:
         return python(text)
     if language == "bash":
         return bash(text)
-    if language == "go":
-        return go_semicolons(_flat(GO, _GO_CLASSES, text))
-    if language == "rust":
-        return _flat(RUST, _RS_CLASSES, text)
-    if language == "java":
-        return _flat(JAVA, _JAVA_CLASSES, text)
-    return _flat(JS, _SCRIPT[language == "typescript"], text)
+    found = [c for c in pieces(language, text)[0] if c and c is not COMMENT]
+    return go_semicolons(found) if language == "go" else found

@@ -12,6 +12,7 @@ import re
 import warnings
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from declarium.llm.syntax import lexers
 
@@ -58,24 +59,15 @@ class Source:
 
 def cut(language: str, text: str) -> Source:
     """The tokens of a ``plain`` text with their offsets; comments apart."""
-    pattern, classes = {
-        "go": (lexers.GO, lexers._GO_CLASSES),
-        "rust": (lexers.RUST, lexers._RS_CLASSES),
-        "java": (lexers.JAVA, lexers._JAVA_CLASSES),
-        "javascript": (lexers.JS, lexers._SCRIPT[False]),
-        "typescript": (lexers.JS, lexers._SCRIPT[True]),
-    }[language]
+    classes, found = lexers.pieces(language, text)
+    rows = [x for x in zip(classes, accumulate(map(len, found), initial=0), found, strict=False) if x[0]]
     out = Source(text)
-    get = classes.__getitem__
-    for m in pattern.finditer(text):
-        at, end = m.span(1)
-        if at < 0:
-            if text.startswith(("//", "/*"), m.start()):
-                out.comments.append(m.span())
-        elif c := get(m.group(1)):
-            out.classes.append(c)
-            out.starts.append(at)
-            out.ends.append(end)
+    out.comments = [(at, at + len(p.rstrip())) for c, at, p in rows if c is lexers.COMMENT]
+    if out.comments:
+        rows = [x for x in rows if x[0] is not lexers.COMMENT]
+    out.classes = [x[0] for x in rows]
+    out.starts = [x[1] for x in rows]
+    out.ends = [at + len(p.rstrip() or p) for _, at, p in rows]
     return out
 
 
@@ -84,6 +76,24 @@ def stream(language: str, source: Source) -> list[str]:
     return lexers.go_semicolons(source.classes) if language == "go" else source.classes
 
 
+def shell_cut(text: str) -> Source:
+    """The tokens of a ``plain`` shell text with their offsets; comments that stand alone apart."""
+    out = Source(text)
+    bare = lexers.blank_heredocs(text)
+    if bare[:2] == "#!":
+        end = bare.find("\n")
+        bare = " " * (len(bare) if end < 0 else end) + ("" if end < 0 else bare[end:])
+    for m in lexers.SHELL.finditer(bare):
+        at, end = m.span(1)
+        if at >= 0:
+            out.classes.append(lexers.shell_class(bare[at:end]))
+            out.starts.append(at)
+            out.ends.append(end)
+        elif bare[m.start()] == "#":
+            out.comments.append(m.span())
+    return out
+
+
 class _Reader:
     """Finds the declarations of one cut text."""
 
@@ -453,8 +463,7 @@ def python_tree(text: str) -> list[Declaration] | None:
         for node in body:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 start = offset(node.lineno, node.col_offset)
-                name = re.compile(rf"\bdef\s+(?:\\\n\s*)*({re.escape(node.name)})").search(text, start)
-                at = name.start(1) if name else start
+                at = max(text.find(node.name, text.find("def", start) + 3), start)
                 doc = node.body[0].value.value if node.body and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str) else None
                 out.append(Declaration(node.name, at, start, offset(node.end_lineno, node.end_col_offset), doc))
             elif isinstance(node, ast.ClassDef):
@@ -474,50 +483,42 @@ def python_tree(text: str) -> list[Declaration] | None:
 
 
 
-def shell_tree(text: str) -> list[Declaration]:
-    """Functions of a ``plain`` shell text, with the comments above."""
-    bare = lexers.blank_heredocs(text)
-    tokens = [(m.group("t"), m.start("t"), m.end("t")) for m in lexers.SHELL.finditer(bare) if m.group("t")]
-    lines = [0, *[m.end() for m in re.finditer("\n", text)]]
-    comments = [(m.start(), m.end()) for m in re.finditer(r"^[ \t]*(#(?!!)[^\n]*)", bare, re.M)]
-    covered = {bisect_right(lines, a) - 1: (a + (len(text[a:b]) - len(text[a:b].lstrip())), b) for a, b in comments}
-    source = Source(text)
+_SH_COMMAND = frozenset(["NL", ";", "&", "&&", "||", "|", "then", "do", "else", "elif", "{", "(", "!", "DSEMI"])
+
+
+def shell_tree(source: Source) -> list[Declaration]:
+    """Functions of a cut shell text, with the comments above."""
+    c = source.classes
+    lines = source.lines()
+    covered = _covered(source.text, lines, source.comments)
     out: list[Declaration] = []
-    command = True  # whether a word here would be a command
-    i = 0
-    floor = 0
-    while i < len(tokens):
-        word, at, _ = tokens[i]
-        following = tokens[i + 1][0] if i + 1 < len(tokens) else ""
-        name = -1
-        if command and word == "function" and following.strip():
+    command, i, floor = True, 0, 0
+    while i < len(c):
+        name = body = -1
+        if command and c[i] == "function" and i + 1 < len(c) and c[i + 1] != "NL":
             name, body = i + 1, i + 2
-            if body + 1 < len(tokens) and tokens[body][0] == "(" and tokens[body + 1][0] == ")":
+            if c[body : body + 2] == ["(", ")"]:
                 body += 2
-        elif command and following == "(" and i + 2 < len(tokens) and tokens[i + 2][0] == ")" and re.fullmatch(r"[A-Za-z_][\w.:-]*", word):
+        elif command and c[i + 1 : i + 3] == ["(", ")"] and c[i] in ("NAME", "WORD"):
             name, body = i, i + 3
-        if name >= 0:
-            while body < len(tokens) and tokens[body][0] == "\n":
-                body += 1
-            end = body
-            level, at_command = 0, True
-            while end < len(tokens):
-                w = tokens[end][0]
-                if w in ("{", "(") and at_command:
-                    level += 1
-                elif (w == "}" and at_command) or w == ")":
-                    level -= 1
-                    if level <= 0:
-                        break
-                at_command = w in ("\n", ";", "&", "&&", "||", "|", "then", "do", "else", "elif", "{", "(", "!", ";;", ")")
-                end += 1
-            last = tokens[min(end, len(tokens) - 1)][2]
-            doc = _comment_above(source, lines, covered, at, at, floor)
-            out.append(Declaration(tokens[name][0], tokens[name][1], at, last, doc))
-            floor = last
-            i = end + 1
-            command = True
+        if name < 0:
+            command = c[i] in _SH_COMMAND
+            i += 1
             continue
-        command = word in ("\n", ";", "&", "&&", "||", "|", "then", "do", "else", "elif", "{", "(", "!", ";;")
-        i += 1
+        while body < len(c) and c[body] == "NL":
+            body += 1
+        end, level, command = body, 0, True
+        while end < len(c):
+            if command and c[end] in ("{", "("):
+                level += 1
+            elif (command and c[end] == "}") or c[end] == ")":
+                level -= 1
+                if level <= 0:
+                    break
+            command = c[end] in _SH_COMMAND or c[end] == ")"
+            end += 1
+        start, last = source.starts[i], source.ends[min(end, len(c) - 1)]
+        doc = _comment_above(source, lines, covered, start, start, floor) if covered else None
+        out.append(Declaration(source.word(name), source.starts[name], start, last, doc))
+        floor, i, command = last, end + 1, True
     return out
