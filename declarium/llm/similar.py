@@ -32,6 +32,9 @@ WORD = re.compile(r"[A-Za-z0-9_]+")
 SHINGLE, LEAST_WORDS, SIMILAR = 3, 30, 0.5
 #: Sets in a block of a shingle's list.
 BLOCK = 1024
+#: Shingles that more than one set holds, counted first, up to which they are sent to all workers (about
+#: 50 bytes each); beyond, both sides are shuffled by shingle.
+SENT_SHINGLES = 2_000_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
@@ -102,7 +105,9 @@ def _enough(overlap: Column, size_a: Column, size_b: Column, similar: float) ->
 def class_pairs(sets: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """(a, b bigint), a < b: the pairs of different classes that are alike, from ``shingle_sets``."""
     held = sets.where("shingles IS NOT NULL").select("cls", "size", F.explode("shingles").alias("s"))
-    shared = held.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(held.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    if shared.count() <= SENT_SHINGLES:
+        shared = F.broadcast(shared)
     listed = held.join(shared, "s").groupBy("cls").agg(F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("n", "s"))).alias("l"))
     # shingles that only one set holds come first in the order and find nothing: only their number matters
     prefix = F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1 - (F.col("size") - F.size("l"))
