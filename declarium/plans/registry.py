@@ -5,20 +5,119 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from declarium.operators import nested
-from declarium.sources import table
+from declarium.functions import columns as C
+from declarium.operators import browse, catalog, flows, gaps, nested, reports, validate
+from declarium.plans import sql
+from declarium.sources import latest, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.found(table(spark, folder, "index_docs"))
+def _items(spark: SparkSession, folder: str, *wanted: str) -> DataFrame:
+    return catalog.items(table(spark, folder, "items"), *wanted)
+
+
+def _over(wanted: tuple[str, ...], plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query over the catalog's items that reads the ``wanted`` columns."""
+    return lambda spark, folder: plan(_items(spark, folder, *wanted))
+
+
+def _joined(df: DataFrame, *lists: str) -> DataFrame:
+    """Lists as text, so that engines agree on them."""
+    for c in lists:
+        df = df.withColumn(c, F.array_join(c, ","))
+    return df
+
+
+_SHOWN = ("project", "ordinal", "address", "name", "sig_class")
+
+
+def _show(**filters: str) -> Query:
+    read = ("address", "name", "sig_class", "group_path", "language", "state_capture", "kind")
+    return _over(read, lambda i: browse.show(i, **filters).select(*_SHOWN))
+
+
+def _rule(rows: DataFrame) -> DataFrame:
+    return rows.select("project", "subject", "message")
+
+
+def _levels(i: DataFrame) -> DataFrame:
+    return validate.counts(validate.wrong_classes(i).unionByName(validate.untyped_slots(i)))
+
+
+def _body_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    decls = table(spark, folder, "raw_decls").select("decl_id", C.body_hash(F.col("body_text")).alias("hash"))
+    return latest(decls, ["decl_id"])
+
+
+def _env_vars(spark: SparkSession, folder: str) -> DataFrame:
+    decls = table(spark, folder, "raw_decls").select("decl_id", C.env_vars(F.col("body_text"), C.language(F.col("language"))).alias("env_vars"))
+    return _joined(latest(decls, ["decl_id"]), "env_vars")
+
+
+def _ctx_schema(i: DataFrame) -> DataFrame:
+    return _rule(validate.context_conflicts(i, validate.context_schema(i)))
+
+
+def _paths(i: DataFrame) -> DataFrame:
+    return flows.paths(flows.edges(i, 0.6))
+
+
+_READ_EDGES = ("address", "group_path", "ctx_adapter", "deps")
+
+_QUERIES: dict[str, Query] = {
+    "f_params": _over(("signature",), catalog.params),
+    "f11_sig_class": _over(("signature",), lambda i: i.select("project", "ordinal", C.sig_class().alias("computed"))),
+    "f14_module_parts": _over(("file",), lambda i: i.where("file IS NOT NULL").select("file", F.array_join(C.module_parts(F.col("file")), "/").alias("module")).distinct()),
+    "f16_env_vars": _env_vars,
+    "f18_body_hash": _body_hashes,
+    "f20_name_tokens": _over(("name",), lambda i: i.select("project", "ordinal", F.array_join(F.array_sort(C.name_tokens(F.col("name"))), ",").alias("tokens"))),
+    "f21_entry_points": _over(("address", "name", "file", "kind"), lambda i: i.where(C.is_entry_point()).select("project", "ordinal", "address")),
+    "f22_name_key": _over(("name",), lambda i: i.select("project", "ordinal", C.name_key(F.col("name")).alias("name_key"))),
+    "f23_trait": _over(("state_capture",), lambda i: i.select("project", "ordinal", C.trait(F.col("state_capture")).alias("trait"))),
+    "show_ordinals": _show(selector="3-9,12"),
+    "show_group": _show(group="src"),
+    "show_prefix": _show(selector="tests"),
+    "show_attributes": _show(language="python", state="pure", sig_class="sig:any->any"),
+    "show_glob": _show(name="re[a-z]*_*"),
+    "show_project": _over((*_SHOWN[2:], "kind"), lambda i: browse.show(i, project="harrowgate").where(F.col("kind").isin("function", "method")).select(*_SHOWN)),
+    "o2_search": _over(("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
+    "g6_forward_deps": _over(("address", "deps"), browse.forward),
+    "j2_reverse_deps": _over(("address", "deps"), browse.reverse),
+    "a8_callers": _over(("address", "deps"), browse.callers),
+    "a1_signature_classes": _over(("sig_class",), lambda i: _joined(catalog.signature_classes(i), "members")),
+    "a2_op_arrays": _over(("group_path", "sig_class"), lambda i: _joined(catalog.op_arrays(i), "ordinals")),
+    "a10_summary": _over(("sig_class", "language"), catalog.summary),
+    "a4_typing_health": _over(("signature", "file"), lambda i: reports.typing_health(i).drop("untyped_pct")),
+    "a5_worst_files": _over(("signature", "file"), reports.worst_files),
+    "a6_duplicates": _over(("name", "kind", "sig_class", "address"), reports.duplicate_candidates),
+    "a9_packages": _over(("deps",), lambda i: i.select("project", F.explode(C.list_of(F.col("deps.external_packages"))).alias("package")).distinct()),
+    "g1_groups": _over(("group_path", "file"), catalog.groups),
+    "j3_dead_items": _over(("address", "name", "kind", "file", "deps", "ctx_adapter"), gaps.dead_items),
+    "j5_unprovided_keys": _over(("address", "ctx_adapter"), gaps.unprovided_keys),
+    "j6_unresolvable_calls": _over(("address", "deps"), gaps.unresolvable_calls),
+    "a7_duplicate_buckets": _over(("sig_class", "ctx_adapter"), gaps.duplicate_buckets),
+    "w10_near_duplicates": _over(("address", "name", "sig_class", "ctx_adapter"), lambda i: _joined(gaps.near_duplicates(i), "ordinals", "members")),
+    "u1_gaps": _over(("address", "name", "kind", "file", "deps", "sig_class", "ctx_adapter"), lambda i: gaps.ranked(gaps.gaps(i))),
+    "v4_wrong_classes": _over(("address", "sig_class", "signature"), lambda i: _rule(validate.wrong_classes(i))),
+    "v5_untyped": _over(("address", "signature"), lambda i: _rule(validate.untyped_slots(i))),
+    "v11_context_conflicts": _over(("address", "ctx_adapter"), _ctx_schema),
+    "a15_levels": _over(("address", "sig_class", "signature"), _levels),
+    "j7_edges": _over(_READ_EDGES, lambda i: flows.edges(i, 0.4)),
+    "g4_sources": _over(_READ_EDGES, lambda i: flows.sources(flows.edges(i, 0.5))),
+    "g3_paths": _over(_READ_EDGES, lambda i: _paths(i).withColumn("path", F.array_join("path", " -> "))),
+    "o4_flows": _over(_READ_EDGES, lambda i: flows.flows(_paths(i).withColumn("path", F.array_join("path", " -> ")))),
+    "g3_capped": _over(_READ_EDGES, lambda i: flows.capped(flows.edges(i, 0.6)).withColumn("path", F.array_join("path", " -> "))),
+    "p5_found": lambda spark, folder: nested.found(table(spark, folder, "index_docs")),
+    "p5_nodes": lambda spark, folder: nested.nodes(table(spark, folder, "index_docs")),
+}
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.queries()
