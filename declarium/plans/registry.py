@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from declarium.functions import columns as C
-from declarium.operators import browse, catalog, flows, gaps, nested, reports, validate
+from declarium.functions.types import normalized
+from declarium.operators import browse, build, catalog, flows, gaps, nested, reports, validate
 from declarium.plans import sql
-from declarium.sources import latest, table
+from declarium.sources import latest, projection, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +63,51 @@ def _ctx_schema(i: DataFrame) -> DataFrame:
 
 
 def _paths(i: DataFrame) -> DataFrame:
-    return flows.paths(flows.edges(i, 0.6))
+    return flows.paths(flows.edges(i, 0.5))
+
+
+def _parts(plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query over the star schema seen as a catalog."""
+    return lambda spark, folder: plan(projection.items(spark, folder))
+
+
+def _decls(spark: SparkSession, folder: str) -> DataFrame:
+    return build.declarations(table(spark, folder, "raw_decls"))
+
+
+def _addresses(spark: SparkSession, folder: str) -> DataFrame:
+    return build.addressed(_decls(spark, folder)).select("project", "decl_id", "address")
+
+
+def _ordinals(spark: SparkSession, folder: str) -> DataFrame:
+    return build.numbered(build.addressed(_decls(spark, folder))).select("project", "address", "ordinal")
+
+
+def _sticky(spark: SparkSession, folder: str) -> DataFrame:
+    """A rebuild over a catalog that knew every second declaration: known addresses keep their ordinals."""
+    rows = build.addressed(_decls(spark, folder))
+    old = build.numbered(rows.where("decl_id % 2 = 0")).select("project", "address", "ordinal")
+    return build.numbered(rows, old).select("project", "address", "ordinal")
+
+
+def _resolved(spark: SparkSession, folder: str) -> DataFrame:
+    return _joined(build.resolved_calls(build.addressed(_decls(spark, folder))), "calls")
+
+
+def _packages(spark: SparkSession, folder: str) -> DataFrame:
+    return _joined(build.external_packages(_decls(spark, folder)), "packages")
+
+
+def _types(spark: SparkSession, folder: str) -> DataFrame:
+    rows = normalized(_decls(spark, folder)).select("decl_id", F.posexplode("signature.params").alias("pos", "p"))
+    return rows.select("decl_id", "pos", "p.raw_type", "p.norm_type")
+
+
+def _built(spark: SparkSession, folder: str) -> DataFrame:
+    out = build.items(table(spark, folder, "raw_decls"))
+    return out.select("project", "ordinal", "decl_id", "address", "name", "kind", "language", "group_path", "sig_class", "trait", F.array_join("deps.calls", ",").alias("calls"), F.array_join("deps.external_packages", ",").alias("packages"), F.array_join("deps.env_vars", ",").alias("env_vars"), "hash")
 
 
-_READ_EDGES = ("address", "group_path", "ctx_adapter", "deps")
 
 _QUERIES: dict[str, Query] = {
     "f_params": _over(("signature",), catalog.params),
@@ -85,8 +127,8 @@ _QUERIES: dict[str, Query] = {
     "show_project": _over((*_SHOWN[2:], "kind"), lambda i: browse.show(i, project="harrowgate").where(F.col("kind").isin("function", "method")).select(*_SHOWN)),
     "o2_search": _over(("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
     "g6_forward_deps": _over(("address", "deps"), browse.forward),
-    "j2_reverse_deps": _over(("address", "deps"), browse.reverse),
-    "a8_callers": _over(("address", "deps"), browse.callers),
+    "j2_reverse_deps": _parts(browse.reverse),
+    "a8_callers": _parts(browse.callers),
     "a1_signature_classes": _over(("sig_class",), lambda i: _joined(catalog.signature_classes(i), "members")),
     "a2_op_arrays": _over(("group_path", "sig_class"), lambda i: _joined(catalog.op_arrays(i), "ordinals")),
     "a10_summary": _over(("sig_class", "language"), catalog.summary),
@@ -105,11 +147,19 @@ _QUERIES: dict[str, Query] = {
     "v5_untyped": _over(("address", "signature"), lambda i: _rule(validate.untyped_slots(i))),
     "v11_context_conflicts": _over(("address", "ctx_adapter"), _ctx_schema),
     "a15_levels": _over(("address", "sig_class", "signature"), _levels),
-    "j7_edges": _over(_READ_EDGES, lambda i: flows.edges(i, 0.4)),
-    "g4_sources": _over(_READ_EDGES, lambda i: flows.sources(flows.edges(i, 0.5))),
-    "g3_paths": _over(_READ_EDGES, lambda i: _paths(i).withColumn("path", F.array_join("path", " -> "))),
-    "o4_flows": _over(_READ_EDGES, lambda i: flows.flows(_paths(i).withColumn("path", F.array_join("path", " -> ")))),
-    "g3_capped": _over(_READ_EDGES, lambda i: flows.capped(flows.edges(i, 0.6)).withColumn("path", F.array_join("path", " -> "))),
+    "j7_edges": _parts(lambda i: flows.edges(i, 0.4)),
+    "g4_sources": _parts(lambda i: flows.sources(flows.edges(i, 0.5))),
+    "g3_paths": _parts(lambda i: _paths(i).withColumn("path", F.array_join("path", " -> "))),
+    "o4_flows": _parts(lambda i: flows.flows(_paths(i).withColumn("path", F.array_join("path", " -> ")))),
+    "g3_capped": _parts(lambda i: flows.capped(flows.edges(i, 0.5)).withColumn("path", F.array_join("path", " -> "))),
+    "f13_addresses": _addresses,
+    "w1_ordinals": _ordinals,
+    "j12_sticky_ordinals": _sticky,
+    "j1_resolved_calls": _resolved,
+    "f17_packages": _packages,
+    "f1_types": _types,
+    "w3_context_keys": _over(("name", "group_path", "signature"), build.context_keys),
+    "x0_catalog": _built,
     "p5_found": lambda spark, folder: nested.found(table(spark, folder, "index_docs")),
     "p5_nodes": lambda spark, folder: nested.nodes(table(spark, folder, "index_docs")),
 }

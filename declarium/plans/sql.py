@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+from declarium.functions import columns
+from declarium.sources import projection
+
 ONE = """WITH one AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY project, ordinal ORDER BY ingested_at DESC) AS rn FROM items WHERE project IS NOT NULL AND ordinal IS NOT NULL) WHERE rn = 1),
 ps AS (SELECT *, coalesce(signature.params, []) AS params, coalesce(signature.returns.norm_type, 'any') AS ret FROM one),
 calls AS (SELECT project, ordinal, address AS caller, i - 1 AS pos, deps.calls[i] AS callee FROM one, (SELECT unnest(generate_series(1, 400)) AS i) WHERE i <= len(deps.calls) AND deps.calls[i] IS NOT NULL),
@@ -67,7 +72,7 @@ _EDGES = """, side AS (SELECT project, address, coalesce(any_value(group_path),
  edges AS (SELECT p.project, src, dst, round(0.5 * k + 0.4 * (CASE WHEN len(b.needs) > 0 THEN len(list_intersect(a.gives, b.needs)) / len(b.needs) ELSE 0 END) + CASE WHEN a.grp = b.grp OR starts_with(a.grp, b.grp || '.') OR starts_with(b.grp, a.grp || '.') THEN 0.1 ELSE 0 END, 4) AS confidence FROM pairs p JOIN side a ON a.project = p.project AND a.address = src JOIN side b ON b.project = p.project AND b.address = dst WHERE src <> dst)"""
 QUERIES["j7_edges"] = ONE + _EDGES + " SELECT project, src, dst, confidence FROM edges WHERE confidence >= 0.4"
 QUERIES["g4_sources"] = ONE + _EDGES + ", e AS (SELECT * FROM edges WHERE confidence >= 0.5), f0 AS (SELECT DISTINCT project, src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.project = e.project AND d.dst = e.src)) SELECT * FROM f0 UNION ALL SELECT DISTINCT project, src FROM e WHERE project NOT IN (SELECT project FROM f0)"
-_PATHS = _EDGES.replace("WITH", "") + """, e AS (SELECT * FROM edges WHERE confidence >= 0.6), f0 AS (SELECT DISTINCT project, src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.project = e.project AND d.dst = e.src)),
+_PATHS = _EDGES + """, e AS (SELECT * FROM edges WHERE confidence >= 0.5), f0 AS (SELECT DISTINCT project, src AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.project = e.project AND d.dst = e.src)),
  s AS (SELECT * FROM f0 UNION ALL SELECT DISTINCT project, src FROM e WHERE project NOT IN (SELECT project FROM f0)),
  w AS (SELECT project, [node] AS path, NULL::DOUBLE AS confidence FROM s UNION ALL SELECT w.project, list_append(path, e.dst), least(coalesce(w.confidence, e.confidence), e.confidence) FROM w JOIN e ON e.project = w.project AND e.src = path[len(path)] WHERE len(path) < 8 AND NOT list_contains(path, e.dst))
  SELECT project, array_to_string(path, ' -> ') AS path, confidence, len(path)::INT AS stages FROM w WHERE len(path) >= 2 AND (len(path) = 8 OR NOT EXISTS (SELECT 1 FROM e WHERE e.project = w.project AND e.src = path[len(path)] AND NOT list_contains(path, e.dst)))"""
@@ -75,8 +80,48 @@ QUERIES["g3_paths"] = ONE.replace("WITH one", "WITH RECURSIVE one") + _PATHS
 QUERIES["o4_flows"] = ONE.replace("WITH one", "WITH RECURSIVE one") + _PATHS + " ORDER BY confidence DESC, len(path) DESC, project, path LIMIT 200"
 
 
+_DECLS = r"""WITH one AS (SELECT * EXCLUDE (rn, language, file), regexp_replace(file, '^(\./)+', '') AS file, CASE lower(trim(language)) WHEN 'py' THEN 'python' WHEN 'python' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'javascript' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'typescript' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'golang' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'rust' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'sh' THEN 'bash' WHEN 'shell' THEN 'bash' WHEN 'bash' THEN 'bash' ELSE language END AS language
+ FROM (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY extracted_at DESC) AS rn FROM raw_decls WHERE decl_id IS NOT NULL) WHERE rn = 1),
+mods AS (SELECT *, list_transform(list_filter(string_split(regexp_replace(file, '\.[^./]*$', ''), '/'), lambda p: p NOT IN ('', '.', '__init__')), lambda p: replace(p, '.', '_')) AS mod FROM one),
+based AS (SELECT *, CASE WHEN starts_with(name, '<') THEN array_to_string(list_concat(mod, coalesce(scope_chain, [])), '.') || '#' || start_line ELSE array_to_string(list_concat(mod, coalesce(scope_chain, []), [name]), '.') END AS base FROM mods),
+addressed AS (SELECT *, CASE WHEN rn = 1 THEN base ELSE base || '~' || rn END AS address FROM (SELECT *, row_number() OVER (PARTITION BY project, base ORDER BY file, start_line, name, decl_id) AS rn FROM based)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file, start_line, name, address) - 1 AS ordinal FROM addressed)
+"""
+QUERIES["f13_addresses"] = _DECLS + "SELECT project, decl_id, address FROM addressed"
+QUERIES["w1_ordinals"] = _DECLS + "SELECT project, address, ordinal::INT AS ordinal FROM numbered"
+QUERIES["j12_sticky_ordinals"] = _DECLS + """, old AS (SELECT project, address, row_number() OVER (PARTITION BY project ORDER BY file, start_line, name, address) - 1 AS ordinal FROM addressed WHERE decl_id % 2 = 0),
+ base AS (SELECT project, max(ordinal) + 1 AS base FROM old GROUP BY ALL), k AS (SELECT a.*, o.ordinal AS kept, coalesce(b.base, 0) AS base0 FROM addressed a LEFT JOIN old o ON a.project = o.project AND a.address = o.address LEFT JOIN base b ON a.project = b.project)
+ SELECT project, address, coalesce(kept, base0 + row_number() OVER (PARTITION BY project, kept IS NULL ORDER BY file, start_line, name, address) - 1)::INT AS ordinal FROM k"""
+QUERIES["j1_resolved_calls"] = _DECLS + """, c AS (SELECT project, address, array_to_string(list_concat(mod, coalesce(class_chain, [])), '.') AS grp, i AS pos, calls[i] AS raw, list_last(string_split(calls[i], '.')) AS callee FROM addressed, (SELECT unnest(generate_series(1, 400)) AS i) WHERE i <= len(calls) AND calls[i] IS NOT NULL),
+ names AS (SELECT project, name AS callee, address AS target FROM addressed), n AS (SELECT project, callee, count(*) AS n, min(target) AS sole FROM names GROUP BY ALL),
+ near AS (SELECT c.project, c.address, c.pos, count(*) AS near, min(target) AS nearest FROM c JOIN names t ON t.project = c.project AND t.callee = c.callee AND starts_with(t.target, c.grp || '.') GROUP BY ALL),
+ r AS (SELECT c.project, c.address, c.pos, CASE WHEN near = 1 THEN nearest WHEN n = 1 THEN sole ELSE 'external:' || raw END AS t FROM c LEFT JOIN n ON n.project = c.project AND n.callee = c.callee LEFT JOIN near ON near.project = c.project AND near.address = c.address AND near.pos = c.pos),
+ f AS (SELECT project, address, t, min(pos) AS pos FROM r GROUP BY ALL) SELECT project, address, string_agg(t, ',' ORDER BY pos) AS calls FROM f GROUP BY ALL"""
+QUERIES["f17_packages"] = _DECLS + r""", roots AS (SELECT DISTINCT project, mod[1] AS root FROM mods WHERE len(mod) > 0), i AS (SELECT project, decl_id, language, trim(unnest(imports)) AS i FROM one),
+ p AS (SELECT project, decl_id, language, CASE WHEN language = 'rust' THEN split_part(i, '::', 1) WHEN language = 'go' THEN split_part(i, '/', 1) ELSE split_part(i, '.', 1) END AS root, i FROM i WHERE i <> ''),
+ k AS (SELECT project, decl_id, language, root, CASE WHEN language IN ('javascript', 'typescript') THEN CASE WHEN starts_with(i, '@') THEN array_to_string(string_split(i, '/')[1:2], '/') ELSE split_part(i, '/', 1) END WHEN language IN ('go', 'bash') THEN i WHEN language = 'java' THEN CASE WHEN contains(i, '.') THEN regexp_replace(i, '\.[^.]*$', '') ELSE i END ELSE root END AS package FROM p
+  WHERE NOT CASE WHEN language IN ('javascript', 'typescript') THEN starts_with(i, '.') OR starts_with(i, '/') OR starts_with(i, 'node:') WHEN language = 'python' THEN root IN ({stdlib}) WHEN language = 'go' THEN NOT contains(root, '.') WHEN language = 'rust' THEN root IN ('crate', 'self', 'super', 'std', 'core', 'alloc', 'test', 'proc_macro') WHEN language = 'java' THEN root IN ('java', 'javax', 'jdk') WHEN language = 'bash' THEN false ELSE true END)
+ SELECT project, decl_id, string_agg(DISTINCT package, ',' ORDER BY package) AS packages FROM k WHERE language IN ('javascript', 'typescript', 'bash') OR NOT EXISTS (SELECT 1 FROM roots r WHERE r.project = k.project AND r.root = k.root) GROUP BY ALL"""
+_ENV = {k: "list_concat(" + ", ".join("regexp_extract_all(body_text, '" + p.replace("'", "''") + "', 1)" for p in v) + ")" for k, v in columns.ENV_PATTERNS.items()}
+QUERIES["f16_env_vars"] = _DECLS + "SELECT decl_id, CASE WHEN body_text IS NULL THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ENV.items()) + " ELSE [] END)), ','), '') END AS env_vars FROM one"
+
+
+def _over_parts() -> None:
+    """Graph queries run over the star schema seen as a catalog: another table of items, the rest is the same."""
+    tail = ONE[ONE.index("ps AS (") :].split("\n", 1)[1]
+    for k in ("j2_reverse_deps", "a8_callers", "j7_edges", "g4_sources", "g3_paths", "o4_flows"):
+        text = QUERIES[k]
+        recursive = "RECURSIVE" if "WITH RECURSIVE" in text else ""
+        body = text[len(ONE.replace("WITH one", "WITH RECURSIVE one") if recursive else ONE) :]
+        QUERIES[k] = projection.CHECK_SQL.format(r=recursive) + tail + body
+
+
+_over_parts()
+
+
 def queries() -> dict[str, str]:
     from declarium.operators.gaps import KNOWN_NAMES
 
     names = ", ".join(f"'{n}'" for n in KNOWN_NAMES)
-    return {k: v.replace("{builtins}", names) for k, v in QUERIES.items()}
+    stdlib = ", ".join(f"'{n}'" for n in sorted(sys.stdlib_module_names))
+    return {k: v.replace("{builtins}", names).replace("{stdlib}", stdlib) for k, v in QUERIES.items()}
