@@ -24,7 +24,7 @@ ENV_PATTERNS = {
 }
 ENV_PATTERNS["typescript"] = ENV_PATTERNS["javascript"]
 #: Spellings of language names that mean a language.
-ALIASES = {"py": "python", "python": "python", "js": "javascript", "javascript": "javascript", "jsx": "javascript", "ts": "typescript", "typescript": "typescript", "tsx": "typescript", "go": "go", "golang": "go", "rs": "rust", "rust": "rust", "java": "java", "sh": "bash", "shell": "bash", "bash": "bash"}
+ALIASES = {"py": "python", "python": "python", "js": "javascript", "javascript": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "typescript": "typescript", "tsx": "typescript", "go": "go", "golang": "go", "rs": "rust", "rust": "rust", "java": "java", "sh": "bash", "shell": "bash", "bash": "bash"}
 
 
 def _lookup(key: Column, values: dict) -> Column:

@@ -24,10 +24,10 @@ JAVA_ROOTS = ("java", "javax", "jdk")
 
 
 def declarations(raw: DataFrame) -> DataFrame:
-    """One row per ``decl_id``, its latest delivery, the language spelled one way."""
+    """One row per ``decl_id``, its latest delivery, the language spelled one way, by the file's ending where it is missing."""
     names = ("project", "name", "kind", "language", "file", "start_line", "end_line", "scope_chain", "class_chain", "params", "returns_raw", "returns_norm", "is_async", "doc", "body_text", "calls", "imports", "state_capture")
     out = latest(columns(raw, "decl_id", "extracted_at", *names), ["decl_id"], "extracted_at").drop("extracted_at")
-    return out.withColumn("language", F.coalesce(C.language(F.col("language")), F.col("language"))).withColumn("file", F.regexp_replace("file", r"^(?:\./)+", ""))
+    return out.withColumn("language", F.coalesce(C.language(F.col("language")), C.language(F.regexp_extract("file", r"\.([a-z]+)$", 1)), F.col("language"))).withColumn("file", F.regexp_replace("file", r"^(?:\./)+", ""))
 
 
 def addressed(decls: DataFrame) -> DataFrame:

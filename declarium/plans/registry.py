@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from declarium.functions import columns as C
 from declarium.functions.types import normalized
-from declarium.operators import browse, build, catalog, flows, gaps, nested, reports, validate
+from declarium.operators import browse, build, catalog, flows, gaps, generate, nested, pipelines, reports, validate
 from declarium.plans import sql
-from declarium.sources import latest, projection, table
+from declarium.sources import catalogs, latest, projection, table, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,8 +54,8 @@ def _body_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _env_vars(spark: SparkSession, folder: str) -> DataFrame:
-    decls = table(spark, folder, "raw_decls").select("decl_id", C.env_vars(F.col("body_text"), C.language(F.col("language"))).alias("env_vars"))
-    return _joined(latest(decls, ["decl_id"]), "env_vars")
+    decls = build.declarations(table(spark, folder, "raw_decls"))
+    return _joined(decls.select("decl_id", C.env_vars(F.col("body_text"), F.col("language")).alias("env_vars")), "env_vars")
 
 
 def _ctx_schema(i: DataFrame) -> DataFrame:
@@ -103,6 +103,47 @@ def _types(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("decl_id", "pos", "p.raw_type", "p.norm_type")
 
 
+def _source_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files").select("file_id", "project", "file", "language", "content", "loaded_at")
+    once = latest(files, ["file_id"], "loaded_at")
+    return once.withColumn("language", F.coalesce(C.language(F.col("language")), C.language(F.regexp_extract("file", r"\.([a-z]+)$", 1))))
+
+
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    found = trees.declarations(_source_files(spark, folder)).where("error IS NULL")
+    return found.select("project", "file", "name", "kind", "start_line", "end_line", "state_capture", "doc", F.array_join("calls", ",").alias("calls"))
+
+
+def _parse_errors(spark: SparkSession, folder: str) -> DataFrame:
+    return trees.parse_errors(trees.declarations(_source_files(spark, folder)))
+
+
+def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the index documents with their projects, and the catalog of items."""
+    docs = table(spark, folder, "index_docs")
+    nodes = nested.nodes(docs).join(latest(docs.select("index_id", "project", "loaded_at"), ["index_id"], "loaded_at").select("index_id", "project"), "index_id")
+    return nodes, _items(spark, folder, "address", "sig_class")
+
+
+def _array_members(spark: SparkSession, folder: str) -> DataFrame:
+    nodes, known = _documents(spark, folder)
+    found = nodes.where("type = 'op_array'").select("project", F.col("name").alias("sig_class"), F.expr("try_cast(value AS int)").alias("ordinal"), F.col("key").alias("subject")).where("ordinal IS NOT NULL").distinct()
+    return _rule(validate.members(found, known, "op_array_member"))
+
+
+def _pipelines(spark: SparkSession, folder: str) -> DataFrame:
+    found = pipelines.from_documents(table(spark, folder, "index_docs"))
+    return found.select("project", F.concat_ws("#", "index_id", "name").alias("name"), "stages")
+
+
+def _pipeline_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return _rule(validate.pipeline_stages(_pipelines(spark, folder), _items(spark, folder, "address", "signature", "ctx_adapter")))
+
+
+def _pipeline_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return pipelines.direct_edges(_pipelines(spark, folder), _items(spark, folder, "address", "signature", "ctx_adapter"))
+
+
 def _built(spark: SparkSession, folder: str) -> DataFrame:
     out = build.items(table(spark, folder, "raw_decls"))
     return out.select("project", "ordinal", "decl_id", "address", "name", "kind", "language", "group_path", "sig_class", "trait", F.array_join("deps.calls", ",").alias("calls"), F.array_join("deps.external_packages", ",").alias("packages"), F.array_join("deps.env_vars", ",").alias("env_vars"), "hash")
@@ -160,6 +201,16 @@ _QUERIES: dict[str, Query] = {
     "f1_types": _types,
     "w3_context_keys": _over(("name", "group_path", "signature"), build.context_keys),
     "x0_catalog": _built,
+    "x1_declarations": _extracted,
+    "v1_parse_errors": _parse_errors,
+    "v2_duplicate_ordinals": lambda spark, folder: _rule(validate.duplicate_ordinals(table(spark, folder, "items"))),
+    "v9_op_array_members": _array_members,
+    "v13_pipelines": _pipeline_rules,
+    "d4_direct_edges": _pipeline_edges,
+    "s5_projects": lambda spark, folder: catalogs.projects(table(spark, folder, "projects")),
+    "s3_schema_violations": _over(("address", "name", "kind", "sig_class", "state_capture"), catalogs.schema_violations),
+    "c2_skeletons": _over(("address", "name", "group_path", "sig_class", "signature"), lambda i: generate.skeletons(i, "rust").unionByName(generate.skeletons(i, "java"))),
+    "r6_compile_matrix": _over(("address", "name", "group_path", "sig_class", "signature"), generate.matrix),
     "p5_found": lambda spark, folder: nested.found(table(spark, folder, "index_docs")),
     "p5_nodes": lambda spark, folder: nested.nodes(table(spark, folder, "index_docs")),
 }

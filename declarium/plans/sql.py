@@ -80,7 +80,7 @@ QUERIES["g3_paths"] = ONE.replace("WITH one", "WITH RECURSIVE one") + _PATHS
 QUERIES["o4_flows"] = ONE.replace("WITH one", "WITH RECURSIVE one") + _PATHS + " ORDER BY confidence DESC, len(path) DESC, project, path LIMIT 200"
 
 
-_DECLS = r"""WITH one AS (SELECT * EXCLUDE (rn, language, file), regexp_replace(file, '^(\./)+', '') AS file, CASE lower(trim(language)) WHEN 'py' THEN 'python' WHEN 'python' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'javascript' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'typescript' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'golang' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'rust' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'sh' THEN 'bash' WHEN 'shell' THEN 'bash' WHEN 'bash' THEN 'bash' ELSE language END AS language
+_DECLS = r"""WITH one AS (SELECT * EXCLUDE (rn, language, file), regexp_replace(file, '^(\./)+', '') AS file, coalesce({lang1}, {lang2}, language) AS language
  FROM (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY extracted_at DESC) AS rn FROM raw_decls WHERE decl_id IS NOT NULL) WHERE rn = 1),
 mods AS (SELECT *, list_transform(list_filter(string_split(regexp_replace(file, '\.[^./]*$', ''), '/'), lambda p: p NOT IN ('', '.', '__init__')), lambda p: replace(p, '.', '_')) AS mod FROM one),
 based AS (SELECT *, CASE WHEN starts_with(name, '<') THEN array_to_string(list_concat(mod, coalesce(scope_chain, [])), '.') || '#' || start_line ELSE array_to_string(list_concat(mod, coalesce(scope_chain, []), [name]), '.') END AS base FROM mods),
@@ -106,6 +106,9 @@ _ENV = {k: "list_concat(" + ", ".join("regexp_extract_all(body_text, '" + p.repl
 QUERIES["f16_env_vars"] = _DECLS + "SELECT decl_id, CASE WHEN body_text IS NULL THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _ENV.items()) + " ELSE [] END)), ','), '') END AS env_vars FROM one"
 
 
+QUERIES["s5_projects"] = "SELECT name, root, index_path, last_indexed FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY root DESC NULLS LAST, index_path DESC NULLS LAST, last_indexed DESC NULLS LAST) AS rn FROM projects WHERE name IS NOT NULL) WHERE rn = 1"
+
+
 def _over_parts() -> None:
     """Graph queries run over the star schema seen as a catalog: another table of items, the rest is the same."""
     tail = ONE[ONE.index("ps AS (") :].split("\n", 1)[1]
@@ -124,4 +127,6 @@ def queries() -> dict[str, str]:
 
     names = ", ".join(f"'{n}'" for n in KNOWN_NAMES)
     stdlib = ", ".join(f"'{n}'" for n in sorted(sys.stdlib_module_names))
-    return {k: v.replace("{builtins}", names).replace("{stdlib}", stdlib) for k, v in QUERIES.items()}
+    case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in columns.ALIASES.items())
+    one, two = f"CASE lower(trim(language)) {case} END", f"CASE regexp_extract(file, '\\.([a-z]+)$', 1) {case} END"
+    return {k: v.replace("{lang1}", one).replace("{lang2}", two).replace("{builtins}", names).replace("{stdlib}", stdlib) for k, v in QUERIES.items()}
