@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 
+#: Tokens that end an operand, so that ``++`` on the next line belongs to what follows.
+_OPERANDS = frozenset(["ID", ")", "]", "NUM", "STR", "TEMPLATE", "REGEX", "CONST", "this"])
 _EMPTY, _EPS, _TOKEN, _SEQ, _ALT, _REF, _STAR, _ANY = range(8)
 
 
@@ -148,7 +150,7 @@ class Grammar:
             if t == "NL":
                 broken = True
                 continue
-            if broken and last in restricted:
+            if broken and (last in restricted or (t in ("++", "--") and last in _OPERANDS)):
                 ended = derive(state, ";")
                 if ended is not empty:
                     state = ended
