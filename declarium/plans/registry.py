@@ -35,9 +35,13 @@ def _joined(df: DataFrame, *lists: str) -> DataFrame:
 _SHOWN = ("project", "ordinal", "address", "name", "sig_class")
 
 
+def _first(keep: Callable[[DataFrame], DataFrame], wanted: tuple[str, ...], plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query that chooses rows before deliveries are merged: they are alike, so the filter reaches the scan."""
+    return lambda spark, folder: plan(catalog.items(keep(table(spark, folder, "items")), *wanted))
+
+
 def _show(**filters: str) -> Query:
-    read = ("address", "name", "sig_class", "group_path", "language", "state_capture", "kind")
-    return _over(read, lambda i: browse.show(i, **filters).select(*_SHOWN))
+    return _first(lambda raw: browse.show(raw, **filters), _SHOWN[2:], lambda i: i.select(*_SHOWN))
 
 
 def _rule(rows: DataFrame) -> DataFrame:
@@ -165,8 +169,8 @@ _QUERIES: dict[str, Query] = {
     "show_prefix": _show(selector="tests"),
     "show_attributes": _show(language="python", state="pure", sig_class="sig:any->any"),
     "show_glob": _show(name="re[a-z]*_*"),
-    "show_project": _over((*_SHOWN[2:], "kind"), lambda i: browse.show(i, project="harrowgate").where(F.col("kind").isin("function", "method")).select(*_SHOWN)),
-    "o2_search": _over(("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
+    "show_project": _first(lambda raw: browse.show(raw, project="harrowgate").where(F.col("kind").isin("function", "method")), _SHOWN[2:], lambda i: i.select(*_SHOWN)),
+    "o2_search": _first(lambda raw: raw.where(C.search_score("ledger") > 0), ("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
     "g6_forward_deps": _over(("address", "deps"), browse.forward),
     "j2_reverse_deps": _parts(browse.reverse),
     "a8_callers": _parts(browse.callers),
