@@ -37,7 +37,7 @@ _CODE = re.compile(
       .*[;{}]\s*$
     | (?:\w[\w.\[\]"']*|\$\w+)\s*(?:=|:=|\+=|-=|\*=|/=|\|=)\s*\S.*
     | (?:return|await|yield|throw|raise|assert|del|delete|import|from\s+[\w.]+\s+import|package|use|let|const|var|val|mut|local|export|echo|print|println!?|printf|defer|go|goto)\b\s*[\w"'$({\[].*[()=;:."'\]}].*$
-    | (?:if|while|for|switch|match|elif|else\s+if|with|try|except|catch|def|fn|func|function|class|struct|impl|public|private|protected|static|async)\b.*[:{(]\s*[\w\s,:&<>]*\)?\s*[:{]?\s*$
+    | (?:if|while|for|switch|match|elif|else\s+if|with|try|except|catch|def|fn|func|function|class|struct|impl|public|private|protected|static|async)\b.*[:{(][\w\s,:&<>]*+\)?\s*[:{]?\s*$
     | [\w.:>\-]+\(.*\)\s*[;,:]?\s*$
     | (?:\}|\)|\]|else\b\s*[:{]?|end|fi|done|esac|pass|break|continue)\s*[;,]?\s*$
     | .*(?:=>|&&|\|\||==|!=|->|::)\s*\S+.*$

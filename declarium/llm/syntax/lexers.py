@@ -62,7 +62,7 @@ _ID = r"[^\W\d]\w*"
 
 _PY_STRING = (
     r"(?:[rRbBuUfFtT]{0,2}(?:'''(?:[^\\']|\\.|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\""
-    r"|'(?!'')(?:[^\\'\n]|\\.|\\\n)*'|\"(?!\"\")(?:[^\\\"\n]|\\.|\\\n)*\"))"
+    r"|'(?!'')(?:[^\\'\n]|\\.)*'|\"(?!\"\")(?:[^\\\"\n]|\\.)*\"))"
 )
 _PY_NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?!\w)"
 PY = re.compile(
@@ -153,7 +153,7 @@ _JS_REGEX = r"(?:(?<=[=(,:!&|?{};\[\n+*%<>~^])|(?<=[=(,:!&|?{};\[\n+*%<>~^] )|(?
 _JS_TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`"
 # the expression literal comes before blanks, so that it sees what stands before it
 JS = re.compile(
-    rf"//[^\n]*|\A\#![^\n]*|{_BLOCK}|(?:{_JS_REGEX}|\n|(?:[A-Za-z_$]|[^\W\d])[\w$]*|\#[A-Za-z_$][\w$]*|{_JS_NUMBER}|'(?:[^'\\\n]|\\.|\\\n)*'|\"(?:[^\"\\\n]|\\.|\\\n)*\"|{_JS_TEMPLATE}"
+    rf"//[^\n]*|\A\#![^\n]*|{_BLOCK}|(?:{_JS_REGEX}|\n|(?:[A-Za-z_$]|[^\W\d])[\w$]*|\#[A-Za-z_$][\w$]*|{_JS_NUMBER}|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|{_JS_TEMPLATE}"
     r"|=>|\.\.\.|===?|!==?|\*\*=?|&&=?|\|\|=?|\?\?=?|\?\.(?!\d)|\+\+|--|<<=?|<=|[-+*/%&|^]=|\S)[^\S\n]*|[^\S\n]+",
     re.S,
 )
