@@ -1,7 +1,8 @@
 """The driver's star-schema tables seen as a catalog, so that graph operators meet dense graphs.
 
-A part is an item; two parts that follow each other on returned order lines call each other, from the
-lesser key to the greater, so the calls have no cycles. Keys of the context come from the part's key.
+A part is an item; it calls the part of the order's next line if that has the greater key, so the calls
+have no cycles. All order lines count, and all parts are one project, as a call joins any two of them. Keys
+of the context come from the part's key.
 """
 
 from __future__ import annotations
@@ -10,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from declarium.sources.tables import table
 
-#: The projection in SQL that both engines run; ``{q}`` is the least quantity of a line that counts.
+#: The projection of all order lines.
+WHOLE_SQL = """
+lines AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM declarium_lineitem),
+steps AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey < b.l_partkey),
+parts AS (SELECT p_partkey AS k, 'proj' AS project, CAST(p_partkey AS INT) AS ordinal, replace(p_name, ' ', '_') AS name, concat(lower(replace(p_brand, '#', '')), '.m', p_size % 5) AS group_path, p_size FROM declarium_part),
+named AS (SELECT *, concat(group_path, '.', name, '_', k) AS address FROM parts)
+"""
+#: The projection that the given checking SQL builds on: a part of the lines, ``{q}`` the least quantity
+#: of one that counts, and of their calls those within two projects. The operators do not use it.
 ITEMS_SQL = """
 lines AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= {q}),
 steps AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey < b.l_partkey AND a.l_partkey % 2 = b.l_partkey % 2),
@@ -19,13 +28,12 @@ named AS (SELECT *, concat(group_path, '.', name, '_', k) AS address FROM parts)
 """
 
 
-def items(spark: SparkSession, folder: str, quantity: int = 20) -> DataFrame:
+def items(spark: SparkSession, folder: str) -> DataFrame:
     """Items with the columns that the catalog's operators read."""
     for name in ("part", "lineitem"):
         table(spark, folder, name).createOrReplaceTempView(f"declarium_{name}")
-    text = ITEMS_SQL.format(q=quantity).replace("FROM lineitem", "FROM declarium_lineitem").replace("FROM part)", "FROM declarium_part)")
     return spark.sql(
-        f"""WITH {text},
+        f"""WITH {WHOLE_SQL},
         called AS (SELECT src, array_sort(collect_set(n.address)) AS calls FROM steps JOIN named n ON n.k = dst GROUP BY src)
         SELECT project, ordinal, address, name, 'function' AS kind, 'python' AS language, concat(replace(group_path, '.', '/'), '.py') AS file, group_path,
           named_struct('requires', array(named_struct('key', concat('k', k % 97), 'value', 'i64')),
@@ -35,7 +43,7 @@ def items(spark: SparkSession, folder: str, quantity: int = 20) -> DataFrame:
     )
 
 
-#: The same, as the common table expressions that the checking SQL builds on.
+#: The common table expressions that the checking SQL builds on.
 CHECK_SQL = """WITH {r} """ + ITEMS_SQL.format(q=20).strip() + """,
 called AS (SELECT src, list_sort(list(DISTINCT n.address)) AS calls FROM steps JOIN named n ON n.k = dst GROUP BY src),
 one AS (SELECT project, ordinal, address, name, 'function' AS kind, 'python' AS language, concat(replace(group_path, '.', '/'), '.py') AS file, group_path,
