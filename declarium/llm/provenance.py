@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from declarium.sources import columns
 
 #: Notices by kind; a line of the header that scores 2 or more is one. What only talks about notices
-#: scores against it.
+#: cancels the weak ones, those of 1, and the strong ones that follow it.
 NOTICES = {
     "generated": {
         2: ["@generated", "<auto-generated", "autogenerated by", "auto-generated by", "auto-generated file", "autogenerated file", "automatically generated", "generated automatically", "code generated by", "generated code", "do not modify by hand", "do not edit by hand", "do not edit manually", "machine written", "machine-written", "machine generated", "machine-generated", "hand edits are overwritten", "edits will be overwritten", "changes will be lost", "changes will be overwritten", "this is a generated file", "this file is generated", "this file was generated", "this file is auto-generated", "file generated by", "regenerate with", "generated by the protocol buffer compiler"],
@@ -45,8 +45,6 @@ _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b(?:0[xX][
 #: Share of a text's solid characters in literals and what parts them from which it is data; mean
 #: length of its lines, weighed by their characters, and share of blanks of a minified script.
 DATA_SHARE, MINIFIED_LINE, MINIFIED_BLANKS = 0.65, 400, 0.08
-#: Lines in which a header's notices are looked for.
-_HEADER_LINES = 40
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -67,9 +65,7 @@ def header(text: str) -> list[str]:
     out: list[str] = []
     inside = ""
     at = 1 if text[:1] == "﻿" else 0
-    for _ in range(_HEADER_LINES):
-        if at >= len(text):
-            break
+    while at < len(text):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
         line = text[at:end].strip().lower()
@@ -93,11 +89,14 @@ def header(text: str) -> list[str]:
 
 def _notice(text: str) -> str | None:
     for line in header(text):
+        hits = list(_NOTICES.iter(line))
+        talk = min((end for end, (kind, _) in hits if not kind), default=None)
         score: dict[str, int] = {"": 0}
-        for _, (kind, weight) in _NOTICES.iter(line):
-            score[kind] = score.get(kind, 0) + weight
+        for end, (kind, weight) in hits:
+            if kind and (talk is None or weight > 1 and end < talk):
+                score[kind] = score.get(kind, 0) + weight
         best = max(score, key=lambda k: (score[k], k))
-        if best and score[best] + score[""] >= 2:
+        if best and score[best] >= 2:
             return best
     return None
 

@@ -124,3 +124,15 @@ def test_provenance(spark):
     got = [r.file_id for r in provenance.found(files(spark, rows)).collect()]
     assert sorted(got) == [k for k, (_, _, case) in cases.items() if case]
     assert provenance.found(files(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "case"),
+    [
+        ("# Licence terms.\n" * 60 + "# Code generated by x. DO NOT EDIT.\nx = 1\n", True),
+        ("# Code generated by x, which emits stubs; DO NOT EDIT.\nx = 1\n", True),
+        ("# Looks for 'code generated by' lines that say do not edit.\nx = 1\n", False),
+    ],
+)
+def test_header_notices(text, case):
+    assert (provenance.kind_of("a.py", text) is not None) == case
