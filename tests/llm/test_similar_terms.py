@@ -8,7 +8,7 @@ import pytest
 
 from declarium.llm import similar, terms
 
-DECLS = "decl_id bigint, body_text string, cls string, g bigint, s bigint"
+DECLS = "decl_id bigint, body_text string, cls string, g bigint, s bigint, extracted_at timestamp"
 
 
 def body(rng, words=60):
@@ -47,7 +47,7 @@ def test_pairs(spark, block):
             key += 1
     rows.append((key, rows[10][1].upper().replace(" ", " ;\n")))  # the same words, laid out otherwise
     rows += rows[10:20]  # delivered again
-    df = spark.createDataFrame([(k, t, "clash", 1, 2) for k, t in rows], DECLS)
+    df = spark.createDataFrame([(k, t, "clash", 1, 2, None) for k, t in rows], DECLS)
     got = [tuple(r) for r in similar.found(df, block=block).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(rows)
@@ -57,7 +57,7 @@ def test_classes(spark):
     rng = random.Random(6)
     a, b = body(rng), body(rng)
     near = edited(rng, a, 3)
-    df = spark.createDataFrame([(i, t, "", 0, 0) for i, t in enumerate([a, a, a, near, b])], DECLS)
+    df = spark.createDataFrame([(i, t, "", 0, 0, None) for i, t in enumerate([a, a, a, near, b])], DECLS)
     assert {tuple(r) for r in similar.classes(df).collect()} == {(0, 0, 2, 1), (1, 0, 2, 1), (2, 0, 2, 1), (3, 3, 0, 1), (4, 4, 0, 0)}
 
 
