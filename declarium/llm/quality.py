@@ -1,10 +1,10 @@
 """Text statistics of each document and its robust distance from prose of its language.
 
 A task reads each text once and measures it; the measures, not the texts, are kept. For each
-language the mean and covariance of all statistics over its prose are summed over all documents,
-then summed again without the documents that lie far out, so that a few odd ones cannot bend them.
-A document's outlierness is its Mahalanobis distance from that prose. It is a sum over statistics,
-so each statistic's share in it is reported with it.
+language the centre of all documents' statistics is the first guess at what prose looks like; then
+mean and covariance are taken over the part of all documents that lies nearest, again and again, so
+that lists, tables and junk cannot bend them. A document's outlierness is its squared Mahalanobis
+distance from that prose. It is a sum over statistics, so each statistic's share in it is reported.
 """
 
 from __future__ import annotations
@@ -19,149 +19,67 @@ from pyspark.sql import functions as F
 
 from declarium.sources import columns, latest, materialize
 
-STATISTICS = (
-    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words",
-    "marked_lines", "log_line_length", "distinct_words", "letter_ratio", "prose_share",
-)
+#: The statistics, and how finely each is worth telling apart (a standard deviation added to its own).
+RESOLUTION = {
+    "log_words": 2.0, "mean_word_length": 0.2, "symbol_ratio": 0.02, "digit_ratio": 0.02, "punctuated_lines": 0.25, "common_words": 0.05,
+    "formed_share": 0.1, "log_line_length": 2.0, "log_distinct": 0.2, "letter_ratio": 0.03,
+}
+STATISTICS = tuple(RESOLUTION)
 _K = len(STATISTICS)
-#: From this share of characters in prose lines a document helps to tell what prose looks like.
-PROSE = 0.9
-#: Squared distance per statistic from which a document is no longer counted in the second sums, and
-#: from which it is an outlier (95 % of normal rows lie below).
-FAR, OUTLYING = 2.0, 1.79
-#: Fewest prose documents by which a language is described; below, all languages are taken together.
-LEAST_DOCS = 60
-#: Share of common words from which lines of plain words can be sentences.
-SENTENCES = 0.13
+_FINE = np.diag(np.square(list(RESOLUTION.values())))
+#: Share of a language's documents that tell what prose looks like, how often they are chosen anew, and
+#: the number of documents of all languages that a language's own are mixed with.
+CORE, STEPS, PRIOR = 0.6, 3, 50
+#: Least squared distance of an outlier: 99.9 % of normal rows of so many statistics lie below.
+OUTLYING = 29.59
+#: Distances are sorted into this many bins, each twelfth of a doubling wide, from 2 ** -10 on.
+_BINS, _PER_DOUBLING, _FROM = 480, 12, -10
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_QUOTE = re.compile(r"(?:\s*>)+ ?")
-#: Lines that are no running prose, by their form alone.
-_FORM = re.compile(
-    r"""
-      \s*(?:[-*•–—+‣◦▪·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S      # list entries
-    | \s*\|.*\|\s*$ | [^|]*\|[^|]*\| | \s*[-=_*+|:\s]{3,}$          # rows and rules of tables
-    | .*</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>                      # mark-up
-    | \s*[\w.\-]+\s*(?:[,;|]\s*[\w.\-]*){3,}\s*$                     # separated values
-    | (?:[^\w\s]?\s*[\w'’-]+\s*[·»|›/]){1,} | [^»]*»\s*$            # menus
-    | \s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d | \s*\d\d:\d\d:\d\d         # log lines
-    | \s*[A-Fa-f0-9]{24,}\s*$ | \s*[A-Za-z0-9+/=_-]{40,}\s*$ | \s*(?:0x)?[0-9a-fA-F]{4,}[:\s]+(?:[0-9a-fA-F]{2,}\s+){3}
-    | \s*(?:\}|\)|\]|//|/\*|\#!|\#include|@\w+)                    # code
-    """,
-    re.X,
+#: Lines that are no running prose, by their form: a line that begins a list entry, a row or rule of a table, mark-up,
+#: separated values, menus, log lines, encoded data, code.
+_FORMED = re.compile(
+    r"""^(?:
+      [ \t]*(?:[-*•–—+‣◦▪·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])[ \t]+\S
+    | [ \t]*\|.*\|[ \t]*$ | [^|\n]*\|[^|\n]*\| | [ \t]*[-=_*+|:][-=_*+|: \t]{2,}$
+    | [^<\n]*</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>\n]*)?/?>
+    | [ \t]*[\w.\-]+[ \t]*(?:[,;|][ \t]*[\w.\-]*){3,}[ \t]*$
+    | [^\w\s]?[ \t]*[\w'’-]+[ \t]*[·»|›/] | [^»\n]*»[ \t]*$
+    | [ \t]*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d | [ \t]*\d\d:\d\d:\d\d
+    | [ \t]*[A-Fa-f0-9]{24,}[ \t]*$ | [ \t]*[A-Za-z0-9+/=_-]{40,}[ \t]*$ | [ \t]*(?:0x)?[0-9a-fA-F]{4,}[: \t]+(?:[0-9a-fA-F]{2,}[ \t]+){3}
+    | [ \t]*(?:\}|\)|\]|//|/\*|\#!|\#include|@\w)
+    )[^\n]*""",
+    re.X | re.M,
 )
-#: Lines that are none unless they read like sentences.
-_LIKELY = re.compile(
-    r"""
-      [^\t]*\S\t+\S | (?:.*?\S[ ]{2,}(?=\S)){2}                      # columns
-    | \s*["']?[\w.\-]+["']?\s*(?:=|:=|=>|->|::?(?=\s|$))\s*\S*(?:\s\S+){0,3}[^.!?\s]?\s*$   # keys with values
-    | .*[{};]\s*$ | \s*(?:import\s|package\s|def\s|class\s\w+[:(\s{]|func\s|fn\s|return\b.*[();]|else:|fi$|done$|esac$|local\s\w+=|echo\s|export\s|for\s.*[:{]\s*$|while\s.*[:{]\s*$|if\s.*(?:[:{]|then)\s*$)
-    | \s*\w+(?:\.\w+)*\s*(?::=|=)\s | \s*\w+:\s[\w\[\]<>.]+,?\s*$
-    """,
-    re.X,
-)
-_MARK = re.compile(r"\s*(?:[-*•–—+‣◦▪]|\(?\d{1,3}[.)])\s+\S")
-_HEADING = re.compile(r"\s*(?:#{1,6}\s|={2,}\s|.{1,80}\s={2,}\s*$)")
-_FENCE = re.compile(r"\s*(?:```|~~~)")
-_CALL = re.compile(r"\w\(")
-_CLOSERS = "\"'”»)]*_`"
-
-
-def _is_call(line: str) -> bool:
-    """Whether a line ends as a call or a definition does, and has one."""
-    end = line.rstrip()
-    return end.endswith((")", "):", "){", ") {", ");")) and _CALL.search(line) is not None
-
-
-def _is_punctuated(line: str) -> bool:
-    """Whether a line ends a sentence, quotes and brackets after the mark aside."""
-    return line.rstrip().rstrip(_CLOSERS)[-1:] in tuple(".!?…")
+#: Lines that end a sentence, quotes and brackets after the mark aside.
+_PUNCTUATED = re.compile(r"[.!?…][\"'”»)\]*_`]*[ \t]*$", re.M)
+_LINE = re.compile(r"^.*\S", re.M)
 
 
-def _is_sentences(text: str, common: frozenset, least_words: int = 1) -> bool:
-    words = _WORD.findall(text.lower())
-    if len(words) < least_words:
-        return False
-    letters = sum(map(len, words))
-    solid = len(text) - text.count(" ") - text.count("\t")
-    return letters >= 0.6 * solid and sum(w in common for w in words) >= SENTENCES * len(words)
-
-
-def prose_characters(text: str, common: frozenset) -> tuple[int, int]:
-    """(non-blank characters of running prose, all non-blank characters) of a text.
-
-    A line belongs to no prose by its form, or if it goes on under a list entry, or stands in a
-    fence; the other lines, taken together as far as no blank or formed line parts them, are prose if
-    they are mostly letters and hold the common words that sentences need. Quote marks before a line
-    are ignored.
-    """
-    prose = total = 0
-    run: list[str] = []
-    fenced = listed = False
-
-    def flush() -> None:
-        nonlocal prose
-        if run:
-            joined = " ".join(run)
-            if _is_sentences(joined, common):
-                prose += len(joined) - joined.count(" ") - joined.count("\t")
-            run.clear()
-
-    for line in text.splitlines():
-        if line[:1] == ">" or line[:2] == " >":
-            line = _QUOTE.sub("", line, count=1)
-        solid = len("".join(line.split()))
-        if not solid:
-            flush()
-            listed = False
-            continue
-        total += solid
-        if _FENCE.match(line):
-            fenced = not fenced
-            flush()
-        elif fenced:
-            continue
-        elif _HEADING.match(line):
-            flush()
-            listed = False
-            if _is_sentences(line, common):
-                prose += solid
-        elif _FORM.match(line):
-            flush()
-            listed = _MARK.match(line) is not None
-        elif (_LIKELY.match(line) or _is_call(line)) and not _is_sentences(line, common, 5):
-            flush()
-            listed = False
-        elif listed and line[:2] in ("  ", "\t"):
-            continue
-        else:
-            listed = False
-            run.append(" ".join(line.split()))
-    flush()
-    return prose, total
+def _solid(text: str) -> int:
+    return len("".join(text.split()))
 
 
 def measure(text: str, common: frozenset) -> list[float]:
     """The statistics of one text that is not blank, in the order of ``STATISTICS``."""
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
-    lines = [s for x in text.splitlines() if (s := x.strip())]
-    prose, solid = prose_characters(text, common)
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    words = _WORD.findall(text.lower())
+    solid = max(_solid(text), 1)
+    lines = max(len(_LINE.findall(text)), 1)
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
-    n = len(words)
+    n = max(len(words), 1)
     return [
-        np.log1p(n),
-        letters / n if n else 0.0,
-        max(0, solid - letters - digits) / max(solid, 1),
-        digits / max(solid, 1),
-        sum(map(_is_punctuated, lines)) / max(len(lines), 1),
-        sum(w in common for w in lower) / n if n else 0.0,
-        sum(_MARK.match(x) is not None for x in lines) / max(len(lines), 1),
-        np.log1p(solid / max(len(lines), 1)),
-        len(set(lower)) / n if n else 0.0,
-        letters / max(solid, 1),
-        prose / max(solid, 1),
+        np.log1p(len(words)),
+        letters / n,
+        max(0, solid - letters - digits) / solid,
+        digits / solid,
+        len(_PUNCTUATED.findall(text)) / lines,
+        sum(map(common.__contains__, words)) / n,
+        sum(map(_solid, _FORMED.findall(text))) / solid,
+        np.log1p(solid / lines),
+        np.log1p(len(set(words))) / np.log1p(n),
+        letters / solid,
     ]
 
 
@@ -212,84 +130,115 @@ def statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     return latest(found, ["doc_id"], "updated_at").select("doc_id", "lang", "stats")
 
 
-def _moments(stats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]] | None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean and inverse covariance of prose by language, from sums over all documents.
+def _distances(x: np.ndarray, langs: np.ndarray, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance of each row, and what each statistic adds to it (they sum to the distance)."""
+    parts = np.zeros_like(x)
+    for lang in set(langs):
+        mean, inverse = models[lang]
+        own = langs == lang
+        off = x[own] - mean
+        parts[own] = off * (off @ inverse)
+    return parts.sum(axis=1), parts
+
+
+def _bins(distances: np.ndarray) -> np.ndarray:
+    place = (np.log2(np.maximum(distances, 2.0**_FROM)) - _FROM) * _PER_DOUBLING
+    return np.minimum(place.astype(int), _BINS - 1)
+
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(batch["lang"].to_pylist(), object), np.array(batch["stats"].flatten()).reshape(-1, _K)
 
-    With ``models``, documents that lie far from theirs are left out. What reaches the driver is a
-    fixed number of sums per language.
+
+def _sums(stats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+    """For each language and bin of distances: number, sums and products of its documents' statistics.
+
+    One pass over all documents. A task sends the sums of the bins it meets, whatever the number of
+    its documents; what reaches the driver is bounded by languages and bins.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
-            x = np.array(batch.column(1).to_pylist(), float).reshape(-1, _K)
-            core = x[:, -1] >= PROSE
-            if models:
-                core &= _distances(x, langs, models)[0] <= FAR * _K
-            for lang in set(langs[core]):
-                part = x[core & (langs == lang)]
-                part = np.hstack([np.ones((len(part), 1)), part])
-                sums[lang] = sums.get(lang, 0) + part.T @ part
-        for lang, s in sums.items():
-            flat = s.reshape(-1)
-            yield pa.record_batch([pa.array([lang] * len(flat)), pa.array(range(len(flat)), pa.int32()), pa.array(flat)], ["lang", "cell", "value"])
-
-    rows = stats.select("lang", "stats").mapInArrow(run, "lang string, cell int, value double").groupBy("lang", "cell").agg(F.sum("value").alias("value")).collect()
-    sums: dict[str, np.ndarray] = {}
+            langs, x = _rows(batch)
+            at = _bins(_distances(x, langs, models)[0])
+            full = np.hstack([np.ones((len(x), 1)), x])
+            for lang in set(langs):
+                own = langs == lang
+                for b in np.unique(at[own]):
+                    part = full[own & (at == b)]
+                    sums[lang, int(b)] = sums.get((lang, int(b)), 0) + part.T @ part
+        keys = list(sums)
+        yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k].reshape(-1) for k in keys], pa.list_(pa.float64()))], ["lang", "bin", "sums"])
+
+    held = stats.select("lang", "stats").mapInArrow(run, "lang string, bin int, sums array<double>")
+    cells = held.select("lang", "bin", F.posexplode("sums").alias("cell", "value")).groupBy("lang", "bin", "cell").agg(F.sum("value").alias("value"))
+    rows = cells.groupBy("lang", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "value"))), lambda c: c["value"]).alias("sums")).collect()
+    out: dict[str, np.ndarray] = {}
     for r in rows:
-        sums.setdefault(r.lang, np.zeros((_K + 1) ** 2))[r.cell] = r.value
-    total = sum(sums.values()) if sums else np.zeros((_K + 1) ** 2)
-    out = {"": _model(total)}
-    for lang, s in sums.items():
-        out[lang] = _model(s if s[0] >= LEAST_DOCS else total)
+        out.setdefault(r.lang, np.zeros((_BINS, _K + 1, _K + 1)))[r.bin] = np.array(r.sums).reshape(_K + 1, _K + 1)
     return out
 
 
-def _model(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = flat.reshape(_K + 1, _K + 1)
-    n = max(s[0, 0], 1.0)
-    mean = s[0, 1:] / n
-    cov = s[1:, 1:] / n - np.outer(mean, mean)
-    spread = np.maximum(np.diag(cov), 4e-4)
-    return mean, np.linalg.inv(0.95 * cov + 0.05 * np.diag(spread) + 1e-6 * np.eye(_K))
+def _model(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = max(sums[0, 0], 1.0)
+    mean = sums[0, 1:] / n
+    return mean, np.linalg.inv(sums[1:, 1:] / n - np.outer(mean, mean) + _FINE)
 
 
-def _distances(x: np.ndarray, langs: np.ndarray, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distance of each row, and what each statistic adds to it (they sum to the distance)."""
-    parts = np.zeros_like(x)
-    for lang in set(langs):
-        mean, inverse = models.get(lang, models[""])
-        own = langs == lang
-        off = x[own] - mean
-        parts[own] = off * (off @ inverse)
-    return parts.sum(axis=1), parts
+def _core(bins: np.ndarray) -> np.ndarray:
+    """The sums over the nearest bins that hold the share ``CORE`` of a language's documents."""
+    number = np.cumsum(bins[:, 0, 0])
+    return bins[: int(np.searchsorted(number, CORE * number[-1])) + 1].sum(axis=0)
+
+
+def fitted(stats: DataFrame) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
+    """Mean and inverse covariance of prose by language, and the squared distance from which a document is an outlier.
+
+    Begins at each language's medians. A language's own sums are mixed with ``PRIOR`` documents of all
+    languages, so that one with a few documents is described too. The limit is where all documents'
+    logarithmic distances part best in two (least variance within), but at least ``OUTLYING``.
+    """
+    middle = stats.groupBy("lang").agg(F.array(*[F.percentile_approx(F.col("stats")[k], 0.5, 1000) for k in range(_K)]).alias("m")).collect()
+    if not middle:
+        return {}, OUTLYING
+    models = {r.lang: (np.array(r.m), np.linalg.inv(_FINE)) for r in middle}
+    for _ in range(STEPS):
+        sums = {lang: _core(bins) for lang, bins in _sums(stats, models).items()}
+        total = sum(sums.values())
+        models = {lang: _model(s + total * (PRIOR / total[0, 0])) for lang, s in sums.items()}
+    number = sum(bins[:, 0, 0] for bins in _sums(stats, models).values())
+    below, place = np.cumsum(number), np.cumsum(number * np.arange(_BINS))
+    above = below[-1] - below
+    inside = (below > 0) & (above > 0)
+    between = np.zeros(_BINS)
+    between[inside] = (place[-1] * below[inside] - place[inside] * below[-1]) ** 2 / (below[inside] * above[inside])
+    return models, max(OUTLYING, 2.0 ** (_FROM + (int(between.argmax()) + 1) / _PER_DOUBLING))
 
 
 def outlierness(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id bigint, lang string, each statistic double, distance double, contributions array<double>).
+    """(doc_id bigint, lang string, each statistic double, distance double, outlier boolean, contributions array<double>).
 
-    ``distance`` is the Mahalanobis distance from prose of the document's language per statistic,
-    squared; ``contributions`` are the statistics' shares in it, in the order of ``STATISTICS``. A
-    language with under ``LEAST_DOCS`` prose documents is held against prose of all languages.
+    ``distance`` is the squared Mahalanobis distance from prose of the document's language, and
+    ``outlier`` whether it reaches the limit; ``contributions`` are the statistics' shares in it, in
+    the order of ``STATISTICS``.
     """
     stats = materialize(statistics(documents, common_words), "stats")
-    models = _moments(stats, _moments(stats, None))
+    models, limit = fitted(stats)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            x = np.array(batch.column(2).to_pylist(), float).reshape(-1, _K)
+            langs, x = _rows(batch)
             d, parts = _distances(x, langs, models)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(d / _K), pa.array((parts / _K).tolist(), pa.list_(pa.float64()))],
-                ["doc_id", "lang", "stats", "distance", "contributions"],
+                [batch["doc_id"], batch["lang"], batch["stats"], pa.array(d), pa.array(d >= limit), pa.array(list(parts), pa.list_(pa.float64()))],
+                ["doc_id", "lang", "stats", "distance", "outlier", "contributions"],
             )
 
-    out = stats.mapInArrow(run, "doc_id bigint, lang string, stats array<double>, distance double, contributions array<double>")
-    return out.select("doc_id", "lang", *[F.col("stats")[i].alias(s) for i, s in enumerate(STATISTICS)], "distance", "contributions")
+    out = stats.mapInArrow(run, "doc_id bigint, lang string, stats array<double>, distance double, outlier boolean, contributions array<double>")
+    return out.select("doc_id", "lang", *[F.col("stats")[i].alias(s) for i, s in enumerate(STATISTICS)], "distance", "outlier", "contributions")
 
 
 def found(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id bigint): outliers at least half of whose non-blank characters are no running prose."""
-    return outlierness(documents, common_words).where((F.col("distance") >= OUTLYING) & (F.col("prose_share") <= 0.5)).select("doc_id")
+    """(doc_id bigint): the outliers, documents that are far from running prose of their language."""
+    return outlierness(documents, common_words).where("outlier").select("doc_id")

@@ -106,4 +106,13 @@ def test_quality(spark):
     out = {r.doc_id: r for r in quality.outlierness(docs(spark, rows), common).collect()}
     assert len(out) == 80 + 9
     assert all(abs(sum(r.contributions) - r.distance) < 1e-6 * max(1, abs(r.distance)) for r in out.values())
+    assert max(quality.STATISTICS, key=dict(zip(quality.STATISTICS, out[104].contributions, strict=True)).get) in ("mean_word_length", "common_words", "formed_share", "digit_ratio")
     assert quality.found(docs(spark, []), common).collect() == []
+
+
+def test_prose_is_what_most_documents_are(spark):
+    """Lists are no outliers where nothing but lists is known: the centre comes from the documents."""
+    rows = [(i, "\n".join(f"- item {k} of the box {i}" for k in range(20 + i % 9)), "en") for i in range(60)]
+    rows += [(100 + i, PROSE * (2 + i % 3), "en") for i in range(6)]
+    common = spark.createDataFrame([(lang, w) for lang, w in COMMON], "lang string, word string")
+    assert sorted(r.doc_id for r in quality.found(docs(spark, rows), common).collect()) == list(range(100, 106))
