@@ -1,10 +1,14 @@
-"""Documents that hold passages of held-out items.
+"""Documents that hold passages of held-out items, word for word or edited.
 
-Each item is cut into windows of ``width`` successive words, and every window of every document is
-compared with all of them without pairing: a window's fingerprint is the SimHash of its words, the
-fingerprint is cut into ``radius + 1`` blocks, and two fingerprints that differ in at most
+An item is cut into windows: at every word one of ``WIDTH`` words, the shortest passage, and windows
+of the item's own size class, ``WIDTH`` doubled as often as the item allows. Every window of every
+document is compared with all of them without pairing: its fingerprint is the SimHash of its words,
+the fingerprint is cut into ``radius + 1`` blocks, and two fingerprints that differ in at most
 ``radius`` bits agree in at least one block, so looking each block up finds every window within the
 radius. A candidate is then verified by the exact weighted-shingle similarity of both windows.
+
+Items are taken in blocks of at most ``words`` words; the index of a block is sent to all workers and
+every document meets it. More items mean more passes, never another plan.
 """
 
 from __future__ import annotations
@@ -24,14 +28,14 @@ from declarium.sources import columns
 WORD = re.compile(r"[^\W_]+")
 #: Successive words that make a passage.
 WIDTH = 12
-#: Bits in which fingerprints of a candidate pair may differ; there is one block more.
-RADIUS = 1
-#: Words of all items up to which their windows are sent to every worker (about 40 bytes a word).
-SENT_WORDS = 2_000_000
+#: Bits in which fingerprints may differ: windows of a passage; windows of an item's size, edited.
+RADIUS, EDITED = 1, 4
+#: Least weighted share of common shingles of an edited window; words of a shingle.
+ALIKE, SHINGLE = 0.6, 2
+#: Words of a block of items, about 100 bytes each in its index.
+WORDS = 1_000_000
 _STEP = 1 << 15
 
-_SEEN: dict[str, int] = {}
-
 
 class _Hashes(dict):
     """64-bit hash of a word in lower case; bounded, as a worker lives long."""
@@ -75,18 +79,31 @@ def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
     return [(prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def size_class(n: int, width: int = WIDTH) -> int:
+    """The item's window size: ``width`` doubled while two windows of it, half overlapping, fit in ``n`` words."""
+    size = width
+    while size * 2 <= n:
+        size *= 2
+    return size
+
+
 class Index:
-    """The items' windows, found by blocks of their fingerprints."""
+    """Windows of ``width`` words of some items, found by blocks of their fingerprints.
+
+    ``step`` words lie between the windows of an item; its last words are always in one. Documents
+    are read at every word, so a step loses no alignment.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int = WIDTH, radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, np.ndarray]], width: int = WIDTH, radius: int = RADIUS, step: int = 1):
         self.width, self.radius = width, radius
         owner, hashes, prints = [], [], []
-        for item, text in items:
-            h = np.array(word_hashes(text), np.uint64)
-            if len(h) >= width:
-                hashes.append(np.lib.stride_tricks.sliding_window_view(h, width))
-                prints.append(fingerprints(h, width))
-                owner += [item] * (len(h) - width + 1)
+        for item, h in items:
+            n = len(h) - width + 1
+            if n > 0:
+                at = np.unique(np.append(np.arange(0, n, step), n - 1))
+                hashes.append(np.lib.stride_tricks.sliding_window_view(h, width)[at])
+                prints.append(fingerprints(h, width)[at])
+                owner += [item] * len(at)
         self.owner = np.array(owner, np.int64)
         self.words = np.concatenate(hashes) if hashes else np.empty((0, width), np.uint64)
         self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
@@ -96,59 +113,73 @@ class Index:
             filt = np.zeros(1 << 20, bool)
             filt[b & np.uint64((1 << 20) - 1)] = True
             self.blocks.append((b[order], order, filt))
+        # a shingle weighs the less the more items hold it
+        self.heard: dict[int, int] = {}
+        for _, h in items:
+            for s in np.unique(_shingles(h)).tolist() if len(h) >= SHINGLE else ():
+                self.heard[s] = self.heard.get(s, 0) + 1
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window) of all pairs within the radius."""
         mine, theirs = [], []
         for b, (values, order, filt) in zip(_blocks(prints, self.radius), self.blocks, strict=True):
             at = np.flatnonzero(filt[b & np.uint64((1 << 20) - 1)])
-            lo, hi = np.searchsorted(values, b[at]), np.searchsorted(values, b[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            start = np.repeat(lo - (np.cumsum(n) - n), n)
-            mine.append(np.repeat(at, n))
-            theirs.append(order[start + np.arange(n.sum())] if len(n) else np.empty(0, np.int64))
-        m, t = np.concatenate(mine), np.concatenate(theirs)
-        near = np.bitwise_count(prints[m] ^ self.prints[t]) <= self.radius
-        return m[near], t[near]
-
-    def verified(self, hashes: np.ndarray, m: np.ndarray, t: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs whose shingles (word, place), each weighing the same, are alike for a share of ``least``."""
-        if not len(m):
-            return m, self.owner[t]
-        windows = np.lib.stride_tricks.sliding_window_view(hashes, self.width)
-        keep = []
-        for lo in range(0, len(m), 1 << 16):
-            same = (windows[m[lo : lo + (1 << 16)]] == self.words[t[lo : lo + (1 << 16)]]).mean(axis=1)
-            keep.append(same >= least)
-        ok = np.concatenate(keep)
-        return m[ok], self.owner[t[ok]]
-
-
-def leaks(
-    documents: DataFrame,
-    items: DataFrame,
-    width: int = WIDTH,
-    radius: int = RADIUS,
-    least: float = 1.0,
-    sent_words: int = SENT_WORDS,
-) -> DataFrame:
-    """(doc_id bigint, item_id bigint): the document holds ``width`` successive words of the item.
+            for lo in range(0, len(at), _STEP):
+                some = at[lo : lo + _STEP]
+                first, last = np.searchsorted(values, b[some]), np.searchsorted(values, b[some], "right")
+                n = last - first
+                m = np.repeat(some, n)
+                t = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                near = np.bitwise_count(prints[m] ^ self.prints[t]) <= self.radius
+                mine.append(m[near])
+                theirs.append(t[near])
+        none = np.empty(0, np.int64)
+        pairs = np.unique(np.stack([np.concatenate(mine or [none]), np.concatenate(theirs or [none])]), axis=1)
+        return pairs[0], pairs[1]
+
+    def similarity(self, hashes: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Weight of the shingles in both windows over that of the shingles in either; equal windows have 1."""
+        out = np.empty(len(m))
+        weigh = self.heard.get
+        for k, (i, j) in enumerate(zip(m.tolist(), t.tolist(), strict=True)):
+            mine, theirs = hashes[i : i + self.width], self.words[j]
+            if np.array_equal(mine, theirs):
+                out[k] = 1.0
+                continue
+            a, b = set(_shingles(mine).tolist()), set(_shingles(theirs).tolist())
+            out[k] = sum(1.0 / weigh(s, 1) for s in a & b) / max(sum(1.0 / weigh(s, 1) for s in a | b), 1e-9)
+        return out
+
+
+def _shingles(hashes: np.ndarray) -> np.ndarray:
+    out = hashes[: len(hashes) - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - SHINGLE + 1 + k]
+    return out
 
-    Each pair comes out once. Null texts, texts under ``width`` words and rows without an id give
-    nothing. ``least`` under 1 also takes windows that differ in some words, as far as the radius
-    reaches. The items' windows are sent to the workers while their words, counted first, are at most
-    ``sent_words``; beyond that both sides are joined on their blocks.
-    """
-    docs = columns(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+def _item_blocks(items: DataFrame, words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items' words, in blocks; one block is on the driver at a time."""
     held = columns(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    n_words = held.select(F.sum((F.length("text") + 1) / 2)).head()[0] or 0  # no text has more words
-    if n_words > sent_words:
-        return _joined(docs, held, width, radius, least)
-    index = documents.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in held.collect()], width, radius))
+    block: list[tuple[int, np.ndarray]] = []
+    n = 0
+    for r in held.toLocalIterator():
+        h = np.array(word_hashes(r.text), np.uint64)
+        block.append((r.item_id, h))
+        n += len(h)
+        if n >= words:
+            yield block
+            block, n = [], 0
+    if block:
+        yield block
+
+
+def _met(documents: DataFrame, indexes: list[Index], least: float) -> DataFrame:
+    """(doc_id, item_id, similarity): documents' windows within the radius of an index and at least ``least`` alike, the best of each pair in a document."""
+    docs = columns(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    sent = documents.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -156,43 +187,52 @@ def leaks(
                 sizes = [len(x) for x in lists]
                 hashes = np.array([h for x in lists for h in x], np.uint64)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                m, t = own.candidates(fingerprints(hashes, width))
-                inside = row[m] == row[m + width - 1] if len(m) else m.astype(bool)
-                m, item = own.verified(hashes, m[inside], t[inside], least)
-                if len(m):
-                    ids = part.column(0).to_numpy(zero_copy_only=False)[row[m]]
-                    pairs = np.unique(np.stack([ids.astype(np.int64), item]), axis=1)
-                    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["doc_id", "item_id"])
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                best: dict[tuple[int, int], float] = {}
+                for own in sent.value:
+                    m, t = own.candidates(fingerprints(hashes, own.width))
+                    inside = row[m] == row[m + own.width - 1] if len(m) else m.astype(bool)
+                    m, t = m[inside], t[inside]
+                    for k, item, alike in zip(keys[row[m]].tolist(), own.owner[t].tolist(), own.similarity(hashes, m, t).tolist(), strict=True):
+                        if alike >= least and alike > best.get((k, item), 0):
+                            best[k, item] = alike
+                yield pa.record_batch([pa.array([k for k, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), pa.array(list(best.values()), pa.float64())], ["doc_id", "item_id", "similarity"])
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint").distinct()
+    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, similarity double")
 
 
-def windows(texts: DataFrame, width: int, radius: int) -> DataFrame:
-    """(id, words array<bigint>, print, block, value) of each window of (id, text), one row per block."""
+def _united(parts: list[DataFrame], documents: DataFrame) -> DataFrame:
+    out = documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity double")
+    for p in parts:
+        out = out.unionByName(p)
+    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.array(word_hashes(text), np.uint64)
-                prints = fingerprints(h, width)
-                if not len(prints):
-                    continue
-                rows = np.lib.stride_tricks.sliding_window_view(h, width).astype(np.int64)
-                for k, b in enumerate(_blocks(prints, radius)):
-                    n = len(prints)
-                    yield pa.record_batch(
-                        [pa.array(np.full(n, key, np.int64)), pa.array(rows.tolist(), pa.list_(pa.int64())), pa.array(prints.astype(np.int64)), pa.array(np.full(n, k, np.int32)), pa.array(b.astype(np.int64))],
-                        ["id", "words", "print", "block", "value"],
-                    )
-
-    return texts.mapInArrow(run, "id bigint, words array<bigint>, print bigint, block int, value bigint")
-
-
-def _joined(docs: DataFrame, held: DataFrame, width: int, radius: int, least: float) -> DataFrame:
-    """The same pairs, both sides shuffled by block; equal windows are one row of the items' side."""
-    a = windows(docs.select(F.col("doc_id").alias("id"), "text"), width, radius).distinct()
-    b = windows(held.select(F.col("item_id").alias("id"), "text"), width, radius).distinct()
-    b = b.select("block", "value", F.col("id").alias("item_id"), F.col("words").alias("w"), F.col("print").alias("p"))
-    same = F.size(F.filter(F.zip_with("words", "w", lambda x, y: x == y), lambda x: x)) / F.lit(width)
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("p"))) <= radius
-    return a.join(b, ["block", "value"]).where(near & (same >= least)).select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """(doc_id bigint, item_id bigint): the document holds ``width`` successive words of the item.
+
+    Each pair comes out once. Null texts, texts under ``width`` words and rows without an id give
+    nothing. Of the windows within the radius those that are equal word for word count; equal windows
+    have equal fingerprints, so this form has every such passage whatever the radius.
+    """
+    parts = [_met(documents, [Index(block, width, radius)], 1.0) for block in _item_blocks(items, words)]
+    return _united(parts, documents).select("doc_id", "item_id")
+
+
+def passages(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = EDITED, least: float = ALIKE, words: int = WORDS) -> DataFrame:
+    """(doc_id bigint, item_id bigint, similarity double): the document holds a passage of the item, edited or not.
+
+    Windows have the item's size class, so that a changed word moves few bits of a fingerprint; those
+    within ``radius`` bits count if their weighted shingles are at least ``least`` alike. Passages of
+    ``width`` words that are equal word for word count too, with similarity 1. An edited passage whose
+    fingerprint moved further than the radius is missed: the README gives the recall by edits.
+    """
+    parts = []
+    for block in _item_blocks(items, words):
+        sized: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for item, h in block:
+            if len(h) >= 2 * width:
+                sized.setdefault(size_class(len(h), width), []).append((item, h))
+        edited = [Index(held, size, radius, size // 4) for size, held in sorted(sized.items())]
+        parts += [_met(documents, edited, least), _met(documents, [Index(block, width, RADIUS)], 1.0)]
+    return _united(parts, documents)

@@ -60,6 +60,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.found(table(spark, folder, "documents"), table(spark, folder, "common_words"))
 
@@ -69,7 +73,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found, "p9_statistics": p9_statistics}
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_frequencies": p3_frequencies, "p4_found": p4_found, "p4_report": p4_report, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_statistics": p9_statistics}
 
 
 def oracle_sql() -> dict[str, str]:

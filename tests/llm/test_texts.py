@@ -49,8 +49,8 @@ def words(rng, n):
     return " ".join(f"w{rng.randrange(40)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("sent_words", [10**6, 0])
-def test_leaks(spark, sent_words):
+@pytest.mark.parametrize("block", [10**6, 60])
+def test_leaks(spark, block):
     rng = random.Random(4)
     items = [(i, words(rng, rng.randrange(12, 40))) for i in range(12)] + [(50, None), (51, "too short"), (52, "")]
     items.append((53, items[0][1]))  # shares all with another
@@ -61,7 +61,7 @@ def test_leaks(spark, sent_words):
         rows.append((200 + i, words(rng, 9) + " gap " + " ".join(w[:11]) + " gap " + words(rng, 5), "en"))
     rows += [(300, None, None), (301, "", None), (None, items[0][1], None), (302, (items[3][1] + " . ") * 400, "en"), rows[40]]
     held = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, suite string")
-    got = [tuple(r) for r in leaks.leaks(docs(spark, rows), held, sent_words=sent_words).collect()]
+    got = [tuple(r) for r in leaks.leaks(docs(spark, rows), held, words=block).collect()]
     word = re.compile(r"[^\W_]+")
     windows = {}
     for i, t in items:
@@ -74,14 +74,14 @@ def test_leaks(spark, sent_words):
         expected |= {(k, i) for j in range(len(w) - 11) for i in windows.get(tuple(w[j : j + 12]), ()) if k is not None}
     assert len(got) == len(set(got))
     assert set(got) == expected
-    assert leaks.leaks(docs(spark, []), held, sent_words=sent_words).collect() == []
+    assert leaks.leaks(docs(spark, []), held, words=block).collect() == []
 
 
 def test_fingerprints_within_the_radius_meet():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    base = leaks.Index([(1, " ".join(f"q{i}" for i in range(30)))])
+    base = leaks.Index([(1, np.array(leaks.word_hashes(" ".join(f"q{i}" for i in range(30))), np.uint64))])
     for bit in range(64):
         prints = base.prints ^ np.uint64(1 << bit)
         m, t = base.candidates(prints)
@@ -89,6 +89,28 @@ def test_fingerprints_within_the_radius_meet():
     assert len(base.candidates(rng.integers(0, 2**63, 1000).astype(np.uint64))[0]) == 0
 
 
+def test_edited_passages(spark):
+    """The radius finds passages with a word changed in every twelve, which hold no equal passage."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(30)] + [(90, None), (91, ""), (92, "too short")]
+    rows = []
+    for i, text in items[:30]:
+        w = text.split()
+        for k in range(5, 100, 12):
+            w[k] = rng.choice(vocabulary)
+        rows.append((i, " ".join([*rng.choices(vocabulary, k=40), *w, *rng.choices(vocabulary, k=20)]), "en"))
+    rows += [(1000 + i, " ".join(rng.choices(vocabulary, k=200)), "en") for i in range(50)] + [(2000, None, None), (None, items[0][1], None)]
+    held = spark.createDataFrame(items, "item_id bigint, text string")
+    assert leaks.leaks(docs(spark, rows), held).collect() == []
+    near = {(r.doc_id, r.item_id) for r in leaks.passages(docs(spark, rows), held, radius=12).collect()}
+    some = {(r.doc_id, r.item_id) for r in leaks.passages(docs(spark, rows), held).collect()}
+    none = {(r.doc_id, r.item_id) for r in leaks.passages(docs(spark, rows), held, radius=0).collect()}
+    true = {(i, i) for i in range(30)}
+    assert none < some < near <= true
+    assert len(some) >= 8 and len(near) >= 20
+
+
 PROSE = "The reader can open the file when it is ready, and the writer will close it before the end. If you have more than one of these, then all of them are kept. "
 COMMON = [("en", w) for w in "the can when it is and will before if you have more than one of these then all them are a to in for".split()] + [("de", w) for w in "die der und ist nicht wenn mit von wird eine".split()]
 
