@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm import parsing
-from declarium.llm.syntax import lexers, trees
 from declarium.sources import columns
+from declarium.syntax import lexers, parsing, trees
 
 #: Words that documentation must hold besides those of the function's own name.
 TELLING = 4
@@ -36,11 +35,11 @@ _CODE = re.compile(
     r"""\s*(?:
       .*[;{}]\s*$
     | (?:\w[\w.\[\]"']*|\$\w+)\s*(?:=|:=|\+=|-=|\*=|/=|\|=)\s*\S.*
-    | (?:return|await|yield|throw|raise|assert|del|delete|import|from\s+[\w.]+\s+import|package|use|let|const|var|val|mut|local|export|echo|print|println!?|printf|defer|go|goto)\b\s*[\w"'$({\[].*[()=;:."'\]}].*$
-    | (?:if|while|for|switch|match|elif|else\s+if|with|try|except|catch|def|fn|func|function|class|struct|impl|public|private|protected|static|async)\b.*[:{(][\w\s,:&<>]*+\)?\s*[:{]?\s*$
+    | (?:return|await|yield|throw|raise|assert|del|delete|import|from\s+[\w.]+\s+import|package|use|let|const|var|val|mut|local|export|echo|print|println!?|printf|defer|go|goto)\b(?=\s*[\w"'$({\[])(?:.*(?:\w!?\(|\s:?=\s|;\s*$|["'`$]|\w\.\w|::|[\[\]{}]).*|\s+[\w.]+\s*)$
+    | (?:if|while|for|switch|match|elif|else\s+if|with|try|except|catch|def|fn|func|function|class|struct|impl|public|private|protected|static|async)\b.*(?:[:{]|\w\([\w\s,:&<>]*+\)?)\s*$
     | [\w.:>\-]+\(.*\)\s*[;,:]?\s*$
     | (?:\}|\)|\]|else\b\s*[:{]?|end|fi|done|esac|pass|break|continue)\s*[;,]?\s*$
-    | .*(?:=>|&&|\|\||==|!=|->|::)\s*\S+.*$
+    | .*(?:=>|&&|\|\||==|!=)\s*\S+.*$
     )""",
     re.X,
 )
@@ -80,13 +79,8 @@ def documented(language: str, text: str) -> list[tuple[trees.Declaration, str]]:
     if language == "python":
         found = trees.python_tree(text) or []
         return [(d, says) for d in found if d.doc and (says := telling(d.doc, d.name))]
-    source = trees.shell_cut(text) if language == "bash" else trees.cut(language, text)
-    if not source.comments:
-        return []
-    stream = trees.stream(language, source)
-    g = parsing.grammar(language)
-    at = g.run_inserting(stream, parsing.RESTRICTED) if language in ("javascript", "typescript") else g.run(stream)
-    if at >= 0:
+    source = parsing.source(language, text)
+    if source is None or not source.comments:
         return []
     found = trees.shell_tree(source) if language == "bash" else trees.script_like(language, source)
     return [(d, says) for d in found if d.doc and (says := telling(d.doc, d.name))]

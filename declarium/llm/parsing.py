@@ -2,65 +2,21 @@
 
 A file's token stream is parsed with derivatives against the grammar of the language its ending
 says. An empty derivative marks the exact token that fits nowhere; a file all of whose tokens fit but
-whose last derivative cannot be empty is cut off.
+whose last derivative cannot be empty is cut off. A Python file that the grammar rejects is tried by
+the language's own parser, which can only acquit.
 """
 
 from __future__ import annotations
 
-import ast
-import re
-import sys
-import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from declarium.llm.syntax import grammars, lexers
-from declarium.llm.syntax.derive import Grammar
 from declarium.sources import columns
-
-#: Tokens after which a line break ends the statement.
-RESTRICTED = frozenset(["return", "break", "continue", "throw"])
-_GRAMMARS: dict[str, Grammar] = {}
-
-
-def grammar(language: str) -> Grammar:
-    """The language's grammar with its memo, one per process."""
-    if language not in _GRAMMARS:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        texts = {"python": grammars.PYTHON, "go": grammars.GO, "rust": grammars.RUST, "java": grammars.JAVA, "bash": grammars.SHELL}
-        text = texts.get(language) or grammars.script(language == "typescript")
-        _GRAMMARS[language] = Grammar(text, "file")
-    return _GRAMMARS[language]
-
-
-def failure(language: str, text: str) -> tuple[str, int, int] | None:
-    """None for a valid text; else (``token`` or ``truncated``, place of the token, number of tokens)."""
-    found = lexers.tokens(language, lexers.plain(text))
-    g = grammar(language)
-    at = g.run_inserting(found, RESTRICTED) if language in ("javascript", "typescript") else g.run(found)
-    if at < 0:
-        return None
-    return ("truncated" if at >= len(found) else "token"), at, len(found)
-
-
-def parses(language: str, text: str) -> bool:
-    """Whether the text is valid. For Python, a text that the grammar rejects is tried by the language's own parser."""
-    if failure(language, text) is None:
-        return True
-    return language == "python" and _own_parser_takes(text)
-
-
-def _own_parser_takes(text: str) -> bool:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(lexers.plain(text))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return False
-    return True
+from declarium.syntax import lexers
+from declarium.syntax.parsing import failure
 
 
 def judged(files: DataFrame) -> DataFrame:
@@ -80,8 +36,6 @@ def judged(files: DataFrame) -> DataFrame:
                 if language is None:
                     continue
                 found = failure(language, text) if text else None
-                if found and language == "python" and _own_parser_takes(text):
-                    found = None
                 kind, at, n = found or (None, None, None)
                 out.append((key, project, language, found is not None, kind, at, n))
             cols = list(zip(*out, strict=True)) or [()] * 7

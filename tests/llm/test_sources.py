@@ -3,8 +3,8 @@
 import pytest
 
 from declarium.llm import documented, parsing, provenance
-from declarium.llm.syntax import lexers
-from declarium.llm.syntax.derive import Grammar
+from declarium.syntax import lexers
+from declarium.syntax.derive import Grammar
 
 FILES = "file_id bigint, project string, file string, language string, content string, loaded_at timestamp_ntz, name string, doc string"
 
@@ -136,3 +136,18 @@ def test_provenance(spark):
 )
 def test_header_notices(text, case):
     assert (provenance.kind_of("a.py", text) is not None) == case
+
+
+@pytest.mark.parametrize("line", ["delete the stale rows before a run.", "return nothing when the list is empty.", "for every row of a batch (see the notes)", "maps each key -> its owner for later use", "use the older of both values here."])
+def test_prose_is_no_code(line):
+    assert documented.telling(line, "f")
+
+
+@pytest.mark.parametrize("line", ["return self.rows(key)", "import os", "delete rows[key]", "if rows == key:", "for (const a of rows) {", "let total = first + second", "use std::collections::HashMap;", "rows.append(key, value, other, more)"])
+def test_code_is_no_prose(line):
+    assert documented.telling(line + "\n" + line, "f") is None
+
+
+def test_python_functions_in_match_and_try_star():
+    text = 'match x:\n  case 1:\n    def f():\n      """Keeps the rows that are still needed."""\ntry:\n  pass\nexcept* A:\n  def g():\n    """Drops the rows that nobody has asked for."""\n'
+    assert [d.name for d, _ in documented.documented("python", text)] == ["f", "g"]
