@@ -31,11 +31,13 @@ NOTICES = {
     "": {-4: ["emits", "into its", "talks about", "looks for", "a chat about", "notices such as", "files that say"]},
 }
 _FOLDERS = {
-    "copied": "vendor|_vendor|third_party|third-party|thirdparty|extern|external|node_modules|bower_components|site-packages|deps",
+    "copied": "vendor|_vendor|third_party|third-party|thirdparty|node_modules|bower_components|site-packages",
     "generated": "generated|__generated__|_generated|gen|autogen",
 }
 _PATHS = [
     ("copied", re.compile(rf"(?:^|/)(?:{_FOLDERS['copied']})/")),
+    # folders with these names hold copies where each has a folder of its own
+    ("copied", re.compile(r"(?:^|/)(?:deps|extern|external)/[^/]+/")),
     ("generated", re.compile(rf"(?:^|/)(?:{_FOLDERS['generated']})/")),
     ("minified", re.compile(r"[.-](?:min|bundle)\.[cm]?jsx?$|\.chunk\.[cm]?js$")),
     ("generated", re.compile(r"(?:_pb2|_pb2_grpc|_generated|\.pb|\.generated|\.gen|\.g|\.designer)\.\w+$")),

@@ -151,3 +151,11 @@ def test_code_is_no_prose(line):
 def test_python_functions_in_match_and_try_star():
     text = 'match x:\n  case 1:\n    def f():\n      """Keeps the rows that are still needed."""\ntry:\n  pass\nexcept* A:\n  def g():\n    """Drops the rows that nobody has asked for."""\n'
     assert [d.name for d, _ in documented.documented("python", text)] == ["f", "g"]
+
+
+def test_notices_and_folders():
+    assert provenance.kind_of("a/b.go", "// Code generated by x, which emits tables. DO NOT EDIT.\npackage b\n") == ("generated", "notice")
+    assert provenance.kind_of("a/b.go", "// " + "licence\n// " * 200 + "\n// Code generated by x. DO NOT EDIT.\npackage b\n") == ("generated", "notice")
+    assert provenance.kind_of("external/a.py", "def f():\n    return g(1)\n") is None
+    assert provenance.kind_of("external/lib/a.py", "def f():\n    return g(1)\n") == ("copied", "path")
+    assert provenance.kind_of("a.py", "# looks for files that say do not edit\ndef f():\n    return g(1)\n") is None
