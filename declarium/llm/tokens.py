@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,7 +215,7 @@ def _counted(seen: Counter[str]) -> pa.RecordBatch:
 
 
 def compile_lexicon(texts: DataFrame, vocabulary_path: str = VOCABULARY, words: int = LEXICON_WORDS) -> str:
-    """Counts the corpus' words, compiles the most frequent, and returns the file's path.
+    """Counts the corpus' words, compiles the most frequent, has it shipped to the workers, and returns its name.
 
     At most ``words`` words reach the driver, whatever the corpus' size.
     """
@@ -226,23 +227,17 @@ def compile_lexicon(texts: DataFrame, vocabulary_path: str = VOCABULARY, words:
 
 
 def _publish(spark, blob: bytes) -> str:
-    """Writes ``blob`` to the shared folder; a plain path if that is a mounted folder."""
-    folder = checkpoint_dir(spark)
-    path = f"{folder}/lexicon-{uuid.uuid4().hex}.bin"
-    if folder.startswith("file:") or "://" not in folder:
-        plain = "/" + path.removeprefix("file:").lstrip("/")
-        os.makedirs(os.path.dirname(plain), exist_ok=True)
-        with open(plain, "wb") as f:
-            f.write(blob)
-        return plain
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    """Writes ``blob`` to the shared folder, whatever file system that is on, and has Spark ship it to every worker; gives its name."""
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = system.create(target)
     try:
         stream.write(bytearray(blob))
     finally:
         stream.close()
-    return path
+    spark.sparkContext.addFile(system.makeQualified(target).toString())
+    return name
 
 
 def encode(
@@ -257,17 +252,13 @@ def encode(
     are left out. Strings that look like special tokens are ordinary text.
     """
     docs = latest(columns(documents, "doc_id", "text", "updated_at"), ["doc_id"], "updated_at").select("doc_id", "text")
-    path = compile_lexicon(documents, vocabulary_path, words)
-    spark = documents.sparkSession
-    shared = None
-    if "://" in path:  # not a mounted folder: workers get the bytes, whose size the number of words bounds
-        shared = spark.sparkContext.broadcast(spark.read.format("binaryFile").load(path).head().content)
+    name = compile_lexicon(documents, vocabulary_path, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _mapped(path) if shared is None else Lexicon.over(np.frombuffer(shared.value, np.uint8))
+        lexicon = _mapped(SparkFiles.get(name))
         piece = vocabulary(vocabulary_path)._encode_single_piece
         split = splitter()
-        known: dict[str, list[int]] = _WORKER.setdefault("known" + path, {})
+        known: dict[str, list[int]] = _WORKER.setdefault("known" + name, {})
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 512):
