@@ -2,7 +2,7 @@
 
 A tree has a node for each container (class, implementation block, module, namespace) and each
 function or method with a body; a function's inside is one range, as nothing in it counts. Python's
-tree is the language's own; the others are read from the token stream, bracket pairs first.
+tree is the language's own; shells are read here, languages with braces in ``nodes``.
 """
 
 from __future__ import annotations
@@ -103,302 +103,7 @@ def shell_cut(text: str) -> Source:
     return out
 
 
-class _Reader:
-    """Finds the declarations of one cut text."""
-
-    def __init__(self, source: Source):
-        self.s = source
-        self.c = source.classes
-        self.partner = source.partners()
-        self.found: list[tuple[int, int, int, int]] = []  # name, first token, header token, last token
-
-    def skip(self, i: int) -> int:
-        """The token after ``i`` or after the group that it opens."""
-        return self.partner.get(i, i) + 1
-
-    def until(self, i: int, end: int, stops: tuple[str, ...]) -> int:
-        """The first token from ``i`` of a class in ``stops`` outside any group, or ``end``."""
-        c = self.c
-        while i < end and c[i] not in stops:
-            i = self.skip(i)
-        return min(i, end)
-
-
-class _Go(_Reader):
-    def read(self, i: int, end: int) -> None:
-        c = self.c
-        while i < end:
-            if c[i] == "func":
-                first = i
-                i += 1
-                if i < end and c[i] == "(":
-                    i = self.skip(i)
-                name = i
-                i = self.until(i + 1, end, ("(",))
-                i = self.skip(i)
-                while i < end and c[i] not in ("{", "NL", ";"):
-                    i = self.skip(i + 1) if c[i] in ("interface", "struct") and i + 1 < end and c[i + 1] == "{" else self.skip(i)
-                if i < end and c[i] == "{":
-                    self.found.append((name, first, first, self.partner.get(i, i)))
-                    i = self.skip(i)
-            elif c[i] == "var" and i + 1 < end and c[i + 1] == "ID":
-                first, name = i, i + 1
-                i = self.until(i, end, ("=", "NL", ";"))
-                if i + 1 < end and c[i] == "=" and c[i + 1] == "func":
-                    i = self.until(i, end, ("{",))
-                    self.found.append((name, first, first, self.partner.get(i, i)))
-                    i = self.skip(i)
-            else:
-                i = self.skip(i)
-
-
-class _Rust(_Reader):
-    def read(self, i: int, end: int) -> None:
-        c = self.c
-        first = i
-        header = -1
-        while i < end:
-            k = c[i]
-            if k == "#":
-                i = self.skip(i + 2 if i + 1 < end and c[i + 1] == "!" else i + 1)
-                continue
-            if header < 0:
-                header = i
-            if k == "pub":
-                i += 1
-                if i < end and c[i] == "(":
-                    i = self.skip(i)
-                continue
-            if k in ("async", "unsafe", "extern", "STR", "default") or (k == "const" and i + 1 < end and c[i + 1] in ("fn", "async", "unsafe", "extern")):
-                i += 1
-                continue
-            if k == "fn":
-                name = i + 1
-                i = self.until(i, end, ("{", ";"))
-                if i < end and c[i] == "{":
-                    self.found.append((name, first, header, self.partner.get(i, i)))
-            elif k in ("const", "static"):
-                name = i + 2 if i + 1 < end and c[i + 1] == "mut" else i + 1
-                i = self.until(i, end, ("=", ";"))
-                value = i + 1
-                while value < end and c[value] in ("move", "static", "async"):
-                    value += 1
-                closure = i < end and c[i] == "=" and value < end and c[value] in ("|", "||")
-                i = self.until(i, end, (";",))
-                if closure:
-                    self.found.append((name, first, header, min(i, end - 1)))
-            elif k in ("impl", "trait", "mod"):
-                i = self.until(i, end, ("{", ";"))
-                if i < end and c[i] == "{":
-                    self.read(i + 1, self.partner.get(i, end))
-            else:
-                i = self.until(i, end, ("{", ";"))
-                if i < end and c[i] == "{" and i + 1 < end and self.skip(i) < end and c[self.skip(i)] == ";":
-                    i = self.skip(i)  # a braced value or list that a semicolon ends
-            i = self.skip(i)
-            first, header = i, -1
-
-
-class _Java(_Reader):
-    _KINDS = ("class", "interface", "enum", "record")
-
-    def read(self, i: int, end: int) -> None:
-        c = self.c
-        first, header, name = i, -1, -1
-        while i < end:
-            k = c[i]
-            if k == "@" and i + 1 < end and c[i + 1] != "interface":
-                i += 2
-                while i + 1 < end and c[i] == ".":
-                    i += 2
-                if i < end and c[i] == "(":
-                    i = self.skip(i)
-                continue
-            if header < 0 and k != ";":
-                header = i
-            if k in self._KINDS and i + 1 < end and c[i + 1] == "ID" and (k != "record" or (i + 2 < end and c[i + 2] in ("(", "<"))):
-                i = self.until(i, end, ("{",))
-                if i < end:
-                    inside, close = i + 1, self.partner.get(i, end)
-                    if k == "enum":
-                        inside = min(self.until(inside, close, (";",)) + 1, close)
-                    self.read(inside, close)
-                i = self.skip(i)
-            elif k in (";", "}"):
-                i += 1
-            elif k == "{":  # an initializer, or a compact constructor
-                if name >= 0:
-                    self.found.append((name, first, header, self.partner.get(i, i)))
-                i = self.skip(i)
-            elif k == "=":
-                i = self.until(i, end, (";",)) + 1
-            elif k == "(" and name >= 0:
-                i = self.until(self.skip(i), end, ("{", ";", "default"))
-                if i < end and c[i] == "{":
-                    self.found.append((name, first, header, self.partner.get(i, i)))
-                    i = self.skip(i)
-                else:
-                    i = self.until(i, end, (";",)) + 1
-            else:
-                name = i if k in ("ID", "record", "var", "yield", "sealed", "permits", "when") else -1
-                i = self.skip(i)
-                continue
-            first, header, name = i, -1, -1
-
-
-class _Script(_Reader):
-    def value_is_function(self, i: int, end: int) -> bool:
-        """Whether a function or arrow begins at ``i``."""
-        c = self.c
-        while i < end and c[i] == "NL":
-            i += 1
-        if i < end and c[i] == "async":
-            i += 1
-        if i >= end:
-            return False
-        if c[i] == "function":
-            return True
-        if c[i] == "<":
-            while i < end and c[i] != "(":
-                i += 1
-        if c[i] == "(":
-            i = self.skip(i)
-            if i < end and c[i] == ":":
-                i = self.until(i, end, ("=>", "NL", ";"))
-            return i < end and c[i] == "=>"
-        return i + 1 < end and c[i + 1] == "=>"
-
-    def body(self, i: int, end: int) -> int:
-        """The opening brace of the body after the parameters that end before ``i``, or -1."""
-        c = self.c
-        if i < end and c[i] == ":":
-            i += 1
-            while i < end and c[i] not in ("{", ";", "NL", "}"):
-                i = self.skip(i)
-            if i < end and c[i] == "{" and self.skip(i) < end and c[self.skip(i)] in ("{", "|", "&", "["):
-                i = self.until(self.skip(i), end, ("{", ";", "NL"))
-        while i < end and c[i] == "NL":
-            i += 1
-        return i if i < end and c[i] == "{" else -1
-
-    def read(self, i: int, end: int) -> None:
-        c = self.c
-        begins = True
-        while i < end:
-            k = c[i]
-            if k in ("NL", ";"):
-                begins = True
-                i += 1
-                continue
-            if not begins:
-                begins = k == "{" and self.skip(i) < end and c[self.skip(i)] not in (")", ",", ".", "(")
-                i = self.skip(i)
-                continue
-            begins = False
-            first = header = i
-            while i < end and c[i] == "@":
-                i += 2
-                while i < end and c[i] == ".":
-                    i += 2
-                if i < end and c[i] == "(":
-                    i = self.skip(i)
-                while i < end and c[i] == "NL":
-                    i += 1
-                header = i
-            while i < end and c[i] in ("export", "default", "declare", "abstract"):
-                i += 1
-            at = i + 1 if i < end and c[i] == "async" else i
-            if at < end and c[at] == "function":
-                name = at + 1
-                while name < end and c[name] in ("*", "NL"):
-                    name += 1
-                opening = self.until(name, end, ("(",))
-                i = self.skip(opening)
-                brace = self.body(i, end)
-                if brace >= 0:
-                    if c[name] != "(":
-                        self.found.append((name, first, header, self.partner.get(brace, brace)))
-                    i = self.skip(brace)
-                    begins = True
-            elif i < end and c[i] == "class":
-                i = self.until(i, end, ("{",))
-                if i < end:
-                    self.members(i + 1, self.partner.get(i, end))
-                    i = self.skip(i)
-                    begins = True
-            elif i < end and c[i] in ("namespace", "module") and i + 2 < end and c[i + 1] in ("ID", "STR"):
-                i = self.until(i, end, ("{", "NL"))
-                if i < end and c[i] == "{":
-                    self.read(i + 1, self.partner.get(i, end))
-                    i = self.skip(i)
-            elif i < end and c[i] in ("const", "let", "var"):
-                name = i + 1
-                i = self.until(i, end, ("=", ";"))
-                if i < end and c[i] == "=" and self.value_is_function(i + 1, end):
-                    last = self.ending(i + 1, end)
-                    self.found.append((name, first, header, last))
-                    i = last + 1
-                    begins = True
-                # the rest of the statement is passed token by token
-            else:
-                i = self.skip(i)
-                begins = i <= end and i > 0 and c[i - 1] == "}" and not (i < end and c[i] in (")", ",", ".", "("))
-
-    def ending(self, i: int, end: int) -> int:
-        """The last token of the function value that begins at ``i``."""
-        c = self.c
-        arrow = self.until(i, end, ("=>", "{" if c[i] == "function" else "=>"))
-        at = arrow + 1 if arrow < end and c[arrow] == "=>" else arrow
-        while at < end and c[at] == "NL":
-            at += 1
-        if at < end and c[at] == "{":
-            return self.partner.get(at, at)
-        while at < end and c[at] not in (";", "NL"):
-            at = self.skip(at)
-        return min(at, end) - 1
-
-    def members(self, i: int, end: int) -> None:
-        c = self.c
-        while i < end:
-            if c[i] in ("NL", ";"):
-                i += 1
-                continue
-            first = header = i
-            while i < end and c[i] == "@":
-                i += 2
-                while i < end and c[i] == ".":
-                    i += 2
-                if i < end and c[i] == "(":
-                    i = self.skip(i)
-                while i < end and c[i] == "NL":
-                    i += 1
-                header = i
-            while i + 1 < end and c[i] in ("static", "async", "get", "set", "*", "ACCESS", "readonly", "abstract", "override", "declare") and c[i + 1] not in ("(", "=", ";", ":", "NL", "<", "?"):
-                i += 1
-            if i < end and c[i] == "{":  # a static block
-                i = self.skip(i)
-                continue
-            name = i
-            i = self.skip(i)
-            if i < end and c[i] in ("?", "!"):
-                i += 1
-            if i < end and c[i] == "<":
-                i = self.until(i, end, ("(", "NL"))
-            if i < end and c[i] == "(":
-                i = self.skip(i)
-                brace = self.body(i, end)
-                if brace >= 0:
-                    self.found.append((name, first, header, self.partner.get(brace, brace)))
-                    i = self.skip(brace)
-                    continue
-            while i < end and c[i] not in (";", "NL"):
-                i = self.skip(i)
-
-
-_READERS = {"go": _Go, "rust": _Rust, "java": _Java, "javascript": _Script, "typescript": _Script}
-
-
-def _comment_above(source: Source, lines: list[int], covered: dict[int, tuple[int, int]], first: int, header: int, floor: int) -> str | None:
+def comment_above(source: Source, lines: list[int], covered: dict[int, tuple[int, int]], first: int, header: int, floor: int) -> str | None:
     """Comments directly above the line of offset ``header``; lines from ``first`` on hold annotations."""
     text = source.text
     at = bisect_right(lines, header) - 1
@@ -419,7 +124,7 @@ def _comment_above(source: Source, lines: list[int], covered: dict[int, tuple[in
     return "\n".join(reversed(parts)) if parts else None
 
 
-def _covered(text: str, lines: list[int], comments: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+def comments_by_line(text: str, lines: list[int], comments: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
     """Comment by its last line, of the comments that stand alone on their lines."""
     out: dict[int, tuple[int, int]] = {}
     for a, b in comments:
@@ -431,23 +136,6 @@ def _covered(text: str, lines: list[int], comments: list[tuple[int, int]]) -> di
     return out
 
 
-def script_like(language: str, source: Source) -> list[Declaration]:
-    """Functions and methods of a cut text in a language with braces."""
-    reader = _READERS[language](source)
-    reader.read(0, len(source.classes))
-    lines = source.lines()
-    covered = _covered(source.text, lines, source.comments)
-    lines_end = [*lines, len(source.text)]
-    out = []
-    floor = 0
-    for name, first, header, last in reader.found:
-        start, end = source.starts[first], source.ends[min(last, len(source.ends) - 1)]
-        doc = _comment_above(source, lines_end[:-1], covered, start, source.starts[header], floor) if covered else None
-        out.append(Declaration(source.word(name), source.starts[name], start, end, doc))
-        floor = end
-    return out
-
-
 def python_tree(text: str) -> list[Declaration] | None:
     """Functions and methods of a ``plain`` Python text with their docstrings; None if it has no tree."""
     with warnings.catch_warnings():
@@ -495,14 +183,14 @@ def python_tree(text: str) -> list[Declaration] | None:
 
 
 
-_SH_COMMAND = frozenset(["NL", ";", "&", "&&", "||", "|", "then", "do", "else", "elif", "{", "(", "!", "DSEMI"])
+SHELL_COMMAND = frozenset(["NL", ";", "&", "&&", "||", "|", "then", "do", "else", "elif", "{", "(", "!", "DSEMI"])
 
 
 def shell_tree(source: Source) -> list[Declaration]:
     """Functions of a cut shell text, with the comments above."""
     c = source.classes
     lines = source.lines()
-    covered = _covered(source.text, lines, source.comments)
+    covered = comments_by_line(source.text, lines, source.comments)
     out: list[Declaration] = []
     command, i, floor = True, 0, 0
     while i < len(c):
@@ -514,7 +202,7 @@ def shell_tree(source: Source) -> list[Declaration]:
         elif command and c[i + 1 : i + 3] == ["(", ")"] and c[i] in ("NAME", "WORD"):
             name, body = i, i + 3
         if name < 0:
-            command = c[i] in _SH_COMMAND
+            command = c[i] in SHELL_COMMAND
             i += 1
             continue
         while body < len(c) and c[body] == "NL":
@@ -527,10 +215,10 @@ def shell_tree(source: Source) -> list[Declaration]:
                 level -= 1
                 if level <= 0:
                     break
-            command = c[end] in _SH_COMMAND or c[end] == ")"
+            command = c[end] in SHELL_COMMAND or c[end] == ")"
             end += 1
         start, last = source.starts[i], source.ends[min(end, len(c) - 1)]
-        doc = _comment_above(source, lines, covered, start, start, floor) if covered else None
+        doc = comment_above(source, lines, covered, start, start, floor) if covered else None
         out.append(Declaration(source.word(name), source.starts[name], start, last, doc))
         floor, i, command = last, end + 1, True
     return out
