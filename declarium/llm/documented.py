@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from declarium.sources import columns
-from declarium.syntax import lexers, parsing, trees
+from declarium.syntax import lexers, nodes, parsing, trees
 
 #: Words that documentation must hold besides those of the function's own name.
 TELLING = 4
@@ -82,7 +82,7 @@ def documented(language: str, text: str) -> list[tuple[trees.Declaration, str]]:
     source = parsing.source(language, text)
     if source is None or not source.comments:
         return []
-    found = trees.shell_tree(source) if language == "bash" else trees.script_like(language, source)
+    found = trees.shell_tree(source) if language == "bash" else nodes.declarations(language, source)
     return [(d, says) for d in found if d.doc and (says := telling(d.doc, d.name))]
 
 
