@@ -6,6 +6,7 @@ is sequential within a project; it sees names and types, no texts.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from declarium.functions import columns as C
 from declarium.functions.types import normalized
-from declarium.sources import columns, latest
+from declarium.sources import columns, latest, materialize
 
 #: Roots of Rust paths that name no package.
 RUST_ROOTS = ("crate", "self", "super", "std", "core", "alloc", "test", "proc_macro")
@@ -23,11 +24,17 @@ RUST_ROOTS = ("crate", "self", "super", "std", "core", "alloc", "test", "proc_ma
 JAVA_ROOTS = ("java", "javax", "jdk")
 
 
-def declarations(raw: DataFrame) -> DataFrame:
-    """One row per ``decl_id``, its latest delivery, the language spelled one way, by the file's ending where it is missing."""
-    names = ("project", "name", "kind", "language", "file", "start_line", "end_line", "scope_chain", "class_chain", "params", "returns_raw", "returns_norm", "is_async", "doc", "body_text", "calls", "imports", "state_capture")
-    out = latest(columns(raw, "decl_id", "extracted_at", *names), ["decl_id"], "extracted_at").drop("extracted_at")
-    return out.withColumn("language", F.coalesce(C.language(F.col("language")), C.language(F.regexp_extract("file", r"\.([a-z]+)$", 1)), F.col("language"))).withColumn("file", F.regexp_replace("file", r"^(?:\./)+", ""))
+def declarations(raw: DataFrame, body: bool = True) -> DataFrame:
+    """One row per ``decl_id``, its latest delivery, the language spelled one way, by the file's ending where it is missing.
+
+    Without ``body`` the texts stay behind: ``hash`` and ``env_vars`` take their place before anything moves.
+    """
+    names = ("project", "name", "kind", "language", "file", "start_line", "end_line", "scope_chain", "class_chain", "params", "returns_raw", "returns_norm", "is_async", "doc", "calls", "imports", "state_capture")
+    language = F.coalesce(C.language(F.col("language")), C.language(F.regexp_extract("file", r"\.([a-z]+)$", 1)), F.col("language"))
+    out = columns(raw, "decl_id", "extracted_at", *names, "body_text").withColumn("language", language).withColumn("file", F.regexp_replace("file", r"^(?:\./)+", ""))
+    if not body:
+        out = out.withColumn("hash", C.body_hash(F.col("body_text"))).withColumn("env_vars", C.env_vars(F.coalesce("body_text", F.lit("")), F.col("language"))).drop("body_text")
+    return latest(out, ["decl_id"], "extracted_at").drop("extracted_at")
 
 
 def addressed(decls: DataFrame) -> DataFrame:
@@ -39,24 +46,37 @@ def addressed(decls: DataFrame) -> DataFrame:
     return rows.withColumn("address", out).drop("base", "rn")
 
 
+def places(rows: DataFrame) -> DataFrame:
+    """(project, address, place): each row's place in its project from 0, by file, line, name and address.
+
+    Rows are ranked within their file; a running sum over the files' sizes gives where a file begins, so
+    no task sees a whole project, and nothing but the order's columns moves.
+    """
+    few = rows.select("project", "file", "start_line", "name", "address")
+    sizes = few.groupBy("project", "file").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("project").orderBy(F.asc_nulls_first("file")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("project", F.col("file").alias("f"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("project", "file").orderBy("start_line", "name", "address")))
+    met = ranked.join(begins, (ranked["project"].eqNullSafe(begins["project"])) & ranked["file"].eqNullSafe(begins["f"]))
+    return met.select(ranked["project"], "address", (F.col("begin") + F.col("rank") - 1).cast("int").alias("place"))
+
+
 def numbered(rows: DataFrame, old: DataFrame | None = None, retired: DataFrame | None = None) -> DataFrame:
     """Adds ``ordinal``: that of the ``old`` catalog (project, address, ordinal) where it has the address.
 
     New addresses are numbered on from the greatest ordinal ever used in the project, ``retired``
-    (project, ordinal) ones included, in order of file, line and name.
+    (project, ordinal) ones included, in order of file, line and name. Rows have different addresses.
     """
-    order = ("file", "start_line", "name", "address")
     if old is None:
-        w = Window.partitionBy("project").orderBy(*order)
-        return rows.withColumn("ordinal", F.row_number().over(w) - 1)
+        return rows.join(places(rows).withColumnRenamed("place", "ordinal"), ["project", "address"])
     used = old.select("project", "ordinal")
     if retired is not None:
         used = used.unionByName(retired.select("project", "ordinal"))
     base = used.groupBy("project").agg((F.max("ordinal") + 1).alias("base"))
-    known = rows.join(old.select("project", "address", F.col("ordinal").alias("kept")), ["project", "address"], "left").join(base, "project", "left")
-    w = Window.partitionBy("project", F.col("kept").isNull()).orderBy(*order)
-    fresh = F.coalesce("base", F.lit(0)) + F.row_number().over(w) - 1
-    return known.withColumn("ordinal", F.coalesce("kept", fresh)).drop("kept", "base")
+    kept = old.select("project", "address", F.col("ordinal").alias("kept"))
+    fresh = places(rows.join(kept, ["project", "address"], "left_anti"))
+    known = rows.join(kept, ["project", "address"], "left").join(fresh, ["project", "address"], "left").join(base, "project", "left")
+    return known.withColumn("ordinal", F.coalesce("kept", F.coalesce("base", F.lit(0)) + F.col("place"))).drop("kept", "base", "place")
 
 
 def retired(rows: DataFrame, old: DataFrame) -> DataFrame:
@@ -110,28 +130,18 @@ def external_packages(rows: DataFrame) -> DataFrame:
     return met.groupBy("project", "decl_id").agg(F.array_sort(F.collect_set("package")).alias("packages"))
 
 
-_BAD = re.compile("[^A-Za-z0-9_]")
-
-
-def _key(raw: str) -> str:
-    bare = _BAD.sub("_", raw)
-    return "_" + bare if not bare or bare[0].isdigit() else bare
-
+def _key(text: str) -> str:
+    """A name as a context key, as ``columns.context_key`` spells it."""
+    key = re.sub("[^A-Za-z0-9_]", "_", text)
+    return key if re.match("[A-Za-z_]", key) else f"_{key}"
 
-class _Schema(dict):
-    """Types by context key of one project; the first item to name a key owns its type."""
 
-    def claim(self, wish: str, kind: str, *prefixes: str) -> str:
-        """The first of ``wish``, ``prefix_wish``... that is free or has this type, else a numbered one."""
-        options = [_key(wish), *[_key(f"{p}_{wish}") for p in prefixes]]
-        chosen = next((k for k in options if self.get(k, kind) == kind), None)
-        n = 2
-        while chosen is None:
-            if self.get(f"{options[-1]}{n}", kind) == kind:
-                chosen = f"{options[-1]}{n}"
-            n += 1
-        self[chosen] = kind
-        return chosen
+def _placed(schema: dict[str, str], kind: str, wishes: list[str]) -> str:
+    """The first of the wishes that is free or has this type already; then the last one with a number from 2 on."""
+    keys = [_key(w) for w in wishes]
+    chosen = next(k for k in itertools.chain(keys, (f"{keys[-1]}{n}" for n in itertools.count(2))) if schema.get(k, kind) == kind)
+    schema[chosen] = kind
+    return chosen
 
 
 def context_keys(catalog: DataFrame) -> DataFrame:
@@ -145,14 +155,14 @@ def context_keys(catalog: DataFrame) -> DataFrame:
     rows = catalog.select("project", "ordinal", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("group_path", F.lit("")).alias("grp"), slots.alias("slots"), C.typed(F.col("signature.returns.norm_type")).alias("returns"))
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
-        schema = _Schema()
+        schema: dict[str, str] = {}  # types by key: the first item to name a key owns its type
         out = []
         for r in part.sort_values(["ordinal", "name"], kind="stable").itertuples(index=False):
             group = _key(r.grp.replace(".", "_"))
             for s in r.slots:
-                out.append((r.project, r.ordinal, s["name"], "requires", schema.claim(s["name"], s["type"], r.name, group), s["type"], bool(s["required"])))
+                out.append((r.project, r.ordinal, s["name"], "requires", _placed(schema, s["type"], [s["name"], f"{r.name}_{s['name']}", f"{group}_{s['name']}"]), s["type"], bool(s["required"])))
             if r.returns != "unit":
-                out.append((r.project, r.ordinal, None, "provides", schema.claim(f"{r.name}_result", r.returns, group), r.returns, True))
+                out.append((r.project, r.ordinal, None, "provides", _placed(schema, r.returns, [f"{r.name}_result", f"{group}_{r.name}_result"]), r.returns, True))
         return pd.DataFrame(out, columns=["project", "ordinal", "param", "side", "key", "type", "required"])
 
     return rows.groupBy("project").applyInPandas(place, "project string, ordinal int, param string, side string, key string, type string, required boolean")
@@ -163,15 +173,15 @@ def items(raw: DataFrame, old: DataFrame | None = None, gone: DataFrame | None =
 
     ``old`` (project, address, ordinal) and ``gone`` (project, ordinal) keep ordinals over rebuilds.
     """
-    rows = numbered(addressed(declarations(raw)), old, gone)
+    rows = materialize(numbered(addressed(declarations(raw, body=False)), old, gone), "declared")
     typed = normalized(rows)
     calls = resolved_calls(rows).withColumnRenamed("calls", "resolved")
     packages = external_packages(rows).select("decl_id", "packages")
     out = typed.join(calls, ["project", "address"], "left").join(packages, "decl_id", "left")
     group = F.array_join(F.concat(C.module_parts(F.col("file")), C.list_of(F.col("class_chain"))), ".")
     name = F.when(F.col("name").startswith("<"), F.substring_index("address", ".", -1)).otherwise(F.col("name"))
-    deps = F.struct(C.list_of(F.col("resolved")).alias("calls"), F.array_sort(F.array_distinct(C.list_of(F.col("imports")))).alias("imports"), C.list_of(F.col("packages")).alias("external_packages"), C.env_vars(F.coalesce("body_text", F.lit("")), F.col("language")).alias("env_vars"))
+    deps = F.struct(C.list_of(F.col("resolved")).alias("calls"), F.array_sort(F.array_distinct(C.list_of(F.col("imports")))).alias("imports"), C.list_of(F.col("packages")).alias("external_packages"), F.col("env_vars"))
     return out.select(
         "project", "ordinal", "decl_id", "address", name.alias("name"), "kind", "language", "file", F.array("start_line", "end_line").alias("span"), group.alias("group_path"),
-        "signature", C.sig_class().alias("sig_class"), "state_capture", C.trait(F.col("state_capture")).alias("trait"), deps.alias("deps"), "doc", C.body_hash(F.col("body_text")).alias("hash"),
+        "signature", C.sig_class().alias("sig_class"), "state_capture", C.trait(F.col("state_capture")).alias("trait"), deps.alias("deps"), "doc", "hash",
     )

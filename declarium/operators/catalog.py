@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from declarium.functions import columns as C
 from declarium.sources import columns, latest
+from declarium.sources.catalogs import comparable
 
 ITEM_COLUMNS = (
     "project", "ordinal", "address", "name", "kind", "language", "file", "group_path", "signature",
@@ -19,17 +20,10 @@ def items(raw: DataFrame, *wanted: str) -> DataFrame:
     names = [c for c in (wanted or ITEM_COLUMNS) if c not in ("project", "ordinal", "ingested_at")]
     stamped = columns(raw, "project", "ordinal", "ingested_at", *names)
     if "ctx_adapter" in names:  # maps cannot be compared: as sorted entries they can, and tell the same
-        flat = stamped.withColumn("ctx_adapter", _comparable(stamped))
-        return latest(flat, ["project", "ordinal"], "ingested_at").drop("ingested_at")
+        return latest(comparable(stamped), ["project", "ordinal"], "ingested_at").drop("ingested_at")
     return latest(stamped, ["project", "ordinal"], "ingested_at").drop("ingested_at")
 
 
-def _comparable(df: DataFrame):
-    fields = df.schema["ctx_adapter"].dataType.fieldNames()
-    cols = [F.array_sort(F.map_entries(f"ctx_adapter.{f}")).alias(f) if f != "return_key" else F.col("ctx_adapter.return_key").alias(f) for f in fields]
-    return F.struct(*cols)
-
-
 def keys(side: str):
     """Context keys of an item's adapter on one side, sorted; none for null."""
     return C.list_of(F.transform(F.col(f"ctx_adapter.{side}"), lambda e: e["key"]))
@@ -53,8 +47,9 @@ def ctx_edges(catalog: DataFrame) -> DataFrame:
 
 
 def signature_classes(catalog: DataFrame) -> DataFrame:
-    """(project, sig_class, members): the ordinals of each class, ascending."""
-    return catalog.where("sig_class IS NOT NULL").groupBy("project", "sig_class").agg(F.array_sort(F.collect_list("ordinal")).alias("members"))
+    """(project, sig_class, params array<string>, returns, members): each class' types, read from its id, and its ordinals, ascending."""
+    held = catalog.where("sig_class IS NOT NULL").groupBy("project", "sig_class").agg(F.array_sort(F.collect_list("ordinal")).alias("members"))
+    return held.select("project", "sig_class", C.class_params(F.col("sig_class")).alias("params"), C.class_returns(F.col("sig_class")).alias("returns"), "members")
 
 
 def op_arrays(catalog: DataFrame) -> DataFrame:
@@ -79,5 +74,20 @@ def groups(catalog: DataFrame) -> DataFrame:
 
 
 def summary(catalog: DataFrame) -> DataFrame:
-    """(project, items, classes, languages) of each project."""
-    return catalog.groupBy("project").agg(F.count("*").alias("items"), F.count_distinct("sig_class").alias("classes"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+    """(project, items, classes, ctx_keys, languages) of each project."""
+    counts = catalog.groupBy("project").agg(F.count("*").alias("items"), F.count_distinct("sig_class").alias("classes"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
+    named = ctx_edges(catalog).groupBy("project").agg(F.count_distinct("key").alias("ctx_keys"))
+    return counts.join(named, "project", "left").select("project", "items", "classes", F.coalesce("ctx_keys", F.lit(0)).alias("ctx_keys"), "languages")
+
+
+def walk(groups: DataFrame, project: str | None = None, path: str | None = None) -> DataFrame:
+    """The groups below ``path``, itself included, in pre-order: a path sorts before those that it encloses and they before its next sibling."""
+    out = groups if project is None else groups.where(F.col("project") == project)
+    if path is not None:
+        out = out.where((F.col("path") == path) | F.col("path").startswith(path + "."))
+    return out.orderBy("project", F.split("path", r"\."))
+
+
+def at_group(groups: DataFrame, project: str, path: str) -> DataFrame:
+    """The one group of a path, or none."""
+    return groups.where((F.col("project") == project) & (F.col("path") == path))

@@ -88,6 +88,19 @@ def gaps(catalog: DataFrame) -> DataFrame:
     return dead.unionByName(keys).unionByName(calls).unionByName(near)
 
 
+KINDS = ("dead_item", "unprovided_ctx_key", "unresolvable_call", "near_duplicate")
+
+
+def chosen(found: DataFrame, kind: str | None = None, least: str | None = None) -> DataFrame:
+    """Gaps of one kind, or of a severity of at least ``least``; unknown names are errors."""
+    if kind is not None and kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r} (known: {', '.join(KINDS)})")
+    if least is not None and least not in C.SEVERITIES:
+        raise ValueError(f"unknown severity {least!r} (known: {', '.join(C.SEVERITIES)})")
+    out = found if kind is None else found.where(F.col("kind") == kind)
+    return out if least is None else out.where(C.severity_rank(F.col("severity")) <= C.SEVERITIES[least])
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """Gaps by severity, kind and address; ties by project, ordinal and detail."""
     return found.orderBy(C.severity_rank(F.col("severity")), "kind", "address", "project", "ordinal", "detail")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -76,3 +79,42 @@ def run(ctx: DataFrame, stages: list[tuple[int, str]], edges: list[tuple[int, st
                     ctx = ctx.withColumn(target, F.col(source))
         ctx = ctx.transform(_CALLABLES[address])
     return ctx
+
+
+def call(item: dict, root: str, ctx: dict) -> dict:
+    """Calls a module-level Python function of a catalog, on the driver, with what its parameters map to in ``ctx``.
+
+    ``item`` is an item of a catalog document. The result stands under its return key; a missing needed
+    value, another kind or another language is an error.
+    """
+    if item["language"] != "python" or item["kind"] != "function":
+        raise ValueError(f"{item['address']}: only module-level Python functions can be called")
+    given = {}
+    for p in item["signature"]["params"]:
+        if p["kind"] in ("variadic", "kwvariadic", "receiver"):
+            continue
+        key = (item["ctx_adapter"]["param_map"].get(p["name"]) or p["name"]).removeprefix("ctx.")
+        if key in ctx:
+            given[p["name"]] = ctx[key]
+        elif p.get("default") is None:
+            raise ValueError(f"{item['address']}: ctx lacks {key!r}")
+    path = os.path.join(root, item["file"])
+    spec = importlib.util.spec_from_file_location("_" + re.sub(r"\W", "_", item["file"]), path)
+    if spec is None or spec.loader is None or not os.path.exists(path):
+        raise ValueError(f"{item['address']}: no file {path}")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    result = getattr(module, item["name"])(**given)
+    key = item["ctx_adapter"].get("return_key")
+    return {**ctx, key: result} if key else dict(ctx)
+
+
+def run_items(items: list[dict], edges: list[dict], root: str, ctx: dict) -> dict:
+    """Calls items one after another; after a stage its edges move results to the keys that the next one reads."""
+    for n, item in enumerate(items):
+        if n:
+            for e in edges:
+                if e["after"] == items[n - 1]["ordinal"] and e["from_key"] in ctx:
+                    ctx = {**ctx, e["to_key"]: ctx[e["from_key"]]}
+        ctx = call(item, root, ctx)
+    return ctx

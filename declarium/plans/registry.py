@@ -11,7 +11,7 @@ from declarium.functions import columns as C
 from declarium.functions.types import normalized
 from declarium.operators import browse, build, catalog, flows, gaps, generate, nested, pipelines, reports, validate
 from declarium.plans import sql
-from declarium.sources import catalogs, latest, projection, table, trees
+from declarium.sources import catalogs, latest, materialize, projection, table, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,13 +35,15 @@ def _joined(df: DataFrame, *lists: str) -> DataFrame:
 _SHOWN = ("project", "ordinal", "address", "name", "sig_class")
 
 
-def _first(keep: Callable[[DataFrame], DataFrame], wanted: tuple[str, ...], plan: Callable[[DataFrame], DataFrame]) -> Query:
-    """A query that chooses rows before deliveries are merged: they are alike, so the filter reaches the scan."""
-    return lambda spark, folder: plan(catalog.items(keep(table(spark, folder, "items")), *wanted))
+def _chosen(keep: Callable[[DataFrame], DataFrame], wanted: tuple[str, ...], plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query over the items that ``keep`` chooses: the filter reaches the scan, and the latest delivery decides."""
+    return lambda spark, folder: plan(browse.merged(table(spark, folder, "items"), keep, *wanted))
 
 
 def _show(**filters: str) -> Query:
-    return _first(lambda raw: browse.show(raw, **filters), _SHOWN[2:], lambda i: i.select(*_SHOWN))
+    filtered = {"group": "group_path", "language": "language", "state": "state_capture"}
+    wanted = {*_SHOWN[2:], *(filtered[k] for k in filters if k in filtered), *(["group_path"] if "selector" in filters else [])}
+    return _chosen(lambda rows: browse.show(rows, **filters), tuple(sorted(wanted)), lambda i: i.select(*_SHOWN))
 
 
 def _rule(rows: DataFrame) -> DataFrame:
@@ -67,7 +69,53 @@ def _ctx_schema(i: DataFrame) -> DataFrame:
 
 
 def _paths(i: DataFrame) -> DataFrame:
-    return flows.paths(flows.edges(i, 0.5))
+    i = materialize(i, "items")
+    return flows.paths(flows.edges(i, 0.5), i).withColumn("path", F.array_join("path", " -> "))
+
+
+def _compacted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The catalog, and the same with the holes in its ordinals closed: what is stored about the first no longer fits."""
+    old = materialize(_items(spark, folder, "address", "name", "file", "group_path", "sig_class"), "items")
+    places = build.places(old.withColumn("start_line", F.col("ordinal")).withColumn("address", F.col("ordinal")))
+    new = old.join(places.select("project", F.col("address").alias("ordinal"), "place"), ["project", "ordinal"]).drop("ordinal").withColumnRenamed("place", "ordinal")
+    return old, new
+
+
+def _class_members(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _compacted(spark, folder)
+    return _rule(validate.class_members(catalog.signature_classes(old), new))
+
+
+def _group_members(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _compacted(spark, folder)
+    return _rule(validate.group_members(old.where("group_path IS NOT NULL").select("project", F.col("group_path").alias("path"), "ordinal"), new))
+
+
+def _array_homogeneity(spark: SparkSession, folder: str) -> DataFrame:
+    old, new = _compacted(spark, folder)
+    return _rule(validate.array_members(catalog.op_arrays(old), new))
+
+
+def _retired(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordinals without an item count as retired; closing the holes uses them again."""
+    old, new = _compacted(spark, folder)
+    every = old.groupBy("project").agg(F.max("ordinal").alias("last")).select("project", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("ordinal"))
+    return _rule(validate.retired_in_use(new, every.join(old, ["project", "ordinal"], "left_anti")))
+
+
+def _shared_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """Two catalogs put together without numbering them anew: the ordinals of both meet."""
+    old, new = _compacted(spark, folder)
+    return _rule(validate.duplicate_ordinals(old.select("project", "ordinal", "address").unionByName(new.select("project", "ordinal", "address"))))
+
+
+def _document_violations(spark: SparkSession, folder: str) -> DataFrame:
+    docs = latest(table(spark, folder, "index_docs").select("index_id", "index_json", "loaded_at"), ["index_id"], "loaded_at")
+    return catalogs.schema_violations(catalogs.items(catalogs.from_texts(docs.select("index_json")))).distinct()
+
+
+def _coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.profile_coverage(table(spark, folder, "source_files"))
 
 
 def _parts(plan: Callable[[DataFrame], DataFrame]) -> Query:
@@ -88,9 +136,9 @@ def _ordinals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sticky(spark: SparkSession, folder: str) -> DataFrame:
-    """A rebuild over a catalog that knew every second declaration: known addresses keep their ordinals."""
+    """A rebuild over the stored catalog: addresses that it has keep their ordinals (the least, should it have one twice)."""
     rows = build.addressed(_decls(spark, folder))
-    old = build.numbered(rows.where("decl_id % 2 = 0")).select("project", "address", "ordinal")
+    old = _items(spark, folder, "address").where("address IS NOT NULL").groupBy("project", "address").agg(F.min("ordinal").alias("ordinal"))
     return build.numbered(rows, old).select("project", "address", "ordinal")
 
 
@@ -169,15 +217,17 @@ _QUERIES: dict[str, Query] = {
     "show_prefix": _show(selector="tests"),
     "show_attributes": _show(language="python", state="pure", sig_class="sig:any->any"),
     "show_glob": _show(name="re[a-z]*_*"),
-    "show_project": _first(lambda raw: browse.show(raw, project="harrowgate").where(F.col("kind").isin("function", "method")), _SHOWN[2:], lambda i: i.select(*_SHOWN)),
-    "o2_search": _first(lambda raw: raw.where(C.search_score("ledger") > 0), ("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
+    "show_project": _chosen(lambda rows: browse.show(rows, project="harrowgate").where(F.col("kind").isin("function", "method")), (*_SHOWN[2:], "kind"), lambda i: i.select(*_SHOWN)),
+    "show_address": _chosen(lambda rows: browse.show(rows, selector="src.ledger.reconcile"), (*_SHOWN[2:], "group_path"), lambda i: i.select(*_SHOWN)),
+    "o2_search": _chosen(lambda rows: rows.where(C.search_score("ledger") > 0), ("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
     "g6_forward_deps": _over(("address", "deps"), browse.forward),
     "j2_reverse_deps": _parts(browse.reverse),
     "a8_callers": _parts(browse.callers),
-    "a1_signature_classes": _over(("sig_class",), lambda i: _joined(catalog.signature_classes(i), "members")),
+    "a8_caller_sets": _parts(lambda i: _joined(browse.caller_sets(i), "callers")),
+    "a1_signature_classes": _over(("sig_class",), lambda i: _joined(catalog.signature_classes(i), "members").withColumn("params", F.array_join("params", ";"))),
     "a2_op_arrays": _over(("group_path", "sig_class"), lambda i: _joined(catalog.op_arrays(i), "ordinals")),
-    "a10_summary": _over(("sig_class", "language"), catalog.summary),
-    "a4_typing_health": _over(("signature", "file"), lambda i: reports.typing_health(i).drop("untyped_pct")),
+    "a10_summary": _over(("sig_class", "language", "address", "ctx_adapter"), catalog.summary),
+    "a4_typing_health": _over(("signature", "file"), reports.typing_health),
     "a5_worst_files": _over(("signature", "file"), reports.worst_files),
     "a6_duplicates": _over(("name", "kind", "sig_class", "address"), reports.duplicate_candidates),
     "a9_packages": _over(("deps",), lambda i: i.select("project", F.explode(C.list_of(F.col("deps.external_packages"))).alias("package")).distinct()),
@@ -194,9 +244,8 @@ _QUERIES: dict[str, Query] = {
     "a15_levels": _over(("address", "sig_class", "signature"), _levels),
     "j7_edges": _parts(lambda i: flows.edges(i, 0.4)),
     "g4_sources": _parts(lambda i: flows.sources(flows.edges(i, 0.5))),
-    "g3_paths": _parts(lambda i: _paths(i).withColumn("path", F.array_join("path", " -> "))),
-    "o4_flows": _parts(lambda i: flows.flows(_paths(i).withColumn("path", F.array_join("path", " -> ")))),
-    "g3_capped": _parts(lambda i: flows.capped(flows.edges(i, 0.5)).withColumn("path", F.array_join("path", " -> "))),
+    "g3_paths": _parts(_paths),
+    "o4_flows": _parts(lambda i: flows.flows(_paths(i))),
     "f13_addresses": _addresses,
     "w1_ordinals": _ordinals,
     "j12_sticky_ordinals": _sticky,
@@ -207,14 +256,23 @@ _QUERIES: dict[str, Query] = {
     "x0_catalog": _built,
     "x1_declarations": _extracted,
     "v1_parse_errors": _parse_errors,
-    "v2_duplicate_ordinals": lambda spark, folder: _rule(validate.duplicate_ordinals(table(spark, folder, "items"))),
+    "v2_duplicate_ordinals": _shared_addresses,
+    "v3_retired_ordinals": _retired,
+    "v6_class_members": _class_members,
+    "v8_group_members": _group_members,
+    "v10_op_array_classes": _array_homogeneity,
     "v9_op_array_members": _array_members,
     "v13_pipelines": _pipeline_rules,
     "d4_direct_edges": _pipeline_edges,
     "s5_projects": lambda spark, folder: catalogs.projects(table(spark, folder, "projects")),
     "s3_schema_violations": _over(("address", "name", "kind", "sig_class", "state_capture"), catalogs.schema_violations),
-    "c2_skeletons": _over(("address", "name", "group_path", "sig_class", "signature"), lambda i: generate.skeletons(i, "rust").unionByName(generate.skeletons(i, "java"))),
-    "r6_compile_matrix": _over(("address", "name", "group_path", "sig_class", "signature"), generate.matrix),
+    "s3_document_violations": _document_violations,
+    "r8_profile_coverage": _coverage,
+    "g2_walk": _over(("group_path", "file"), lambda i: catalog.walk(catalog.groups(i), path="src")),
+    "f32_lines": _over(("address", "sig_class", "language", "kind", "state_capture", "doc"), lambda i: i.select("project", "ordinal", browse.line().alias("line"))),
+    "p10_gaps": _over(("address", "name", "kind", "file", "deps", "sig_class", "ctx_adapter"), lambda i: gaps.chosen(gaps.gaps(i), least="medium")),
+    "c2_skeletons": _over(("address", "name", "group_path", "sig_class", "signature", "ctx_adapter"), lambda i: generate.skeletons(i, "rust").unionByName(generate.skeletons(i, "java"))),
+    "r6_compile_matrix": _over(("address", "name", "group_path", "sig_class", "signature", "ctx_adapter"), generate.matrix),
     "p5_found": lambda spark, folder: nested.found(table(spark, folder, "index_docs")),
     "p5_nodes": lambda spark, folder: nested.nodes(table(spark, folder, "index_docs")),
 }

@@ -43,6 +43,12 @@ def load(spark: SparkSession, paths: list[str], projects: list[str] | None = Non
     return docs.where(F.col("project.name").isin(*projects)) if projects is not None else docs
 
 
+def from_texts(texts: DataFrame, column: str = "index_json") -> DataFrame:
+    """Catalog documents from a column of JSON texts; texts that are no catalog are skipped, as in ``load``."""
+    docs = texts.select(F.from_json(column, DOCUMENT, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
+    return docs.withColumn("spi_version", F.coalesce("spi_version", "sca_version")).where("spi_version IS NOT NULL AND project.name IS NOT NULL")
+
+
 def items(docs: DataFrame) -> DataFrame:
     """The items of catalog documents, as the catalog's operators read them."""
     rows = docs.select(F.col("project.name").alias("project"), F.explode("items").alias("i")).select("project", "i.*").withColumnRenamed("group", "group_path")
@@ -97,6 +103,48 @@ def unregister(path: str, name: str) -> None:
     _update(path, lambda held: held.pop(name, None))
 
 
+def index_path(root: str) -> str | None:
+    """Where a root's catalog document lies: the present folder, else the older ones; None if there is none."""
+    options = [os.path.join(root, folder, "index.json") for folder in (".declarium", ".spi", ".sca")]
+    return next((p for p in options if os.path.exists(p)), None)
+
+
+def registered(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
+    """The documents of the registry's projects, or of one, each under its registered name; missing documents are skipped.
+
+    One scan over all paths; a document is known by its file, which the registry names.
+    """
+    known = [r for r in registry(spark, path).collect() if r["index"] and (project is None or r.name == project)]
+    docs = load(spark, [r["index"] for r in known])
+    if not docs.columns or not known:
+        return spark.createDataFrame([], DOCUMENT)
+    names = spark.createDataFrame([(r.name, os.path.abspath(r["index"])) for r in known], "registered string, place string")
+    held = docs.withColumn("place", F.regexp_replace(F.url_decode(F.input_file_name()), "^file:/*", "/"))
+    met = held.join(F.broadcast(names), "place")
+    named = F.struct(F.col("registered").alias("name"), F.col("project.root").alias("root"), F.col("project.generated_at").alias("generated_at"))
+    return met.withColumn("project", named).drop("registered", "place")
+
+
+def comparable(items_: DataFrame) -> DataFrame:
+    """Items whose adapter maps are sorted entries, as the catalog's operators read them."""
+    fields = items_.schema["ctx_adapter"].dataType.fieldNames()
+    cols = [F.array_sort(F.map_entries(f"ctx_adapter.{f}")).alias(f) if f != "return_key" else F.col("ctx_adapter.return_key").alias(f) for f in fields]
+    return items_.withColumn("ctx_adapter", F.struct(*cols))
+
+
+def registered_items(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
+    """The items of the registry's projects: the registry joined with its documents."""
+    return comparable(items(registered(spark, path, project)))
+
+
+def save(document: dict, path: str) -> None:
+    """A whole catalog document as JSON, put in place at once: a reader sees the old one or the new one."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(f"{path}.tmp", "w") as f:
+        json.dump(document, f, indent=1)
+    os.replace(f"{path}.tmp", path)
+
+
 def _update(path: str, change) -> None:
     try:
         with open(path) as f:

@@ -39,7 +39,7 @@ class Grammar:
 
     def __init__(self, text: str, start: str, most: int = 300_000):
         self.text, self.start_name, self.most = text, start, most
-        self._rules = _parse(text)
+        self._rules = rules(text)
         self._null = _nullable(self._rules)
         self._build()
 
@@ -168,7 +168,7 @@ class Grammar:
         return len(tokens)
 
 
-def _parse(text: str) -> dict[str, tuple]:
+def rules(text: str) -> dict[str, tuple]:
     tokens = [t for t in _LEX.findall(text + "\n") if t]
     at = 0
     rules: dict[str, tuple] = {}

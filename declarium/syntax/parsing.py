@@ -7,7 +7,7 @@ import sys
 import warnings
 
 from declarium.syntax import exact, grammars, lexers, trees
-from declarium.syntax.derive import Grammar
+from declarium.syntax.derive import Grammar, rules
 
 #: Tokens after which a line break ends the statement.
 RESTRICTED = frozenset(["return", "break", "continue", "throw"])
@@ -67,3 +67,21 @@ def source(language: str, text: str) -> trees.Source | None:
         return None
     out = trees.of_tokens(text, again)
     return out if _run(language, trees.stream(language, out)) < 0 else None
+
+
+def terminals(text: str) -> list[str]:
+    """The token classes that a grammar's text names, sorted."""
+    found: set[str] = set()
+
+    def visit(tree: tuple) -> None:
+        if tree[0] == "tok":
+            found.add(tree[1])
+        elif tree[0] in ("alt", "seq"):
+            for x in tree[1]:
+                visit(x)
+        elif tree[0] == "star":
+            visit(tree[1])
+
+    for tree in rules(text).values():
+        visit(tree)
+    return sorted(found)
