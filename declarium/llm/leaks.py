@@ -236,3 +236,11 @@ def passages(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius:
         edited = [Index(held, size, radius, size // 4) for size, held in sorted(sized.items())]
         parts += [_met(documents, edited, least), _met(documents, [Index(block, width, RADIUS)], 1.0)]
     return _united(parts, documents)
+
+
+FOUND_SQL = r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+places AS (SELECT unnest(generate_series(1, 20000)) AS i),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS p FROM d, places WHERE i <= len(w) - 11),
+ew AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS p FROM e, places WHERE i <= len(w) - 11)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (p)"""

@@ -77,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": terms.FOUND_SQL, "p3_frequencies": terms.FREQUENCIES_SQL}
+    return {"p2_found": similar.FOUND_SQL, "p2_classes": similar.CLASSES_SQL, "p8_found": leaks.FOUND_SQL, "p3_found": terms.FOUND_SQL, "p3_frequencies": terms.FREQUENCIES_SQL}

@@ -356,3 +356,19 @@ def classes(decls: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> D
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     links = ends.groupBy("cls").agg(F.count("*").alias("links"))
     return member.join(least, "cls").join(links, "cls", "left").select("decl_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+_SQL = r"""WITH one AS (SELECT decl_id, body_text FROM (SELECT *, row_number() OVER (PARTITION BY decl_id ORDER BY extracted_at DESC) AS rn FROM raw_decls WHERE decl_id IS NOT NULL) WHERE rn = 1),
+words AS (SELECT decl_id, list_transform(regexp_extract_all(body_text, '[A-Za-z0-9_]+'), lambda w: lower(w)) AS w FROM one WHERE body_text IS NOT NULL),
+shingles AS (SELECT DISTINCT decl_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM words, (SELECT unnest(generate_series(1, 5000)) AS i) WHERE len(w) >= 30 AND i <= len(w) - 2),
+sizes AS (SELECT decl_id, count(*) AS n FROM shingles GROUP BY ALL),
+pairs AS (SELECT a.decl_id AS decl_id_a, b.decl_id AS decl_id_b, count(*) AS o FROM shingles a JOIN shingles b ON a.s = b.s AND a.decl_id < b.decl_id GROUP BY ALL),
+alike AS (SELECT decl_id_a, decl_id_b, o, x.n AS na, y.n AS nb FROM pairs JOIN sizes x ON x.decl_id = decl_id_a JOIN sizes y ON y.decl_id = decl_id_b WHERE 2 * o >= x.n + y.n - o)
+"""
+FOUND_SQL = _SQL + "SELECT decl_id_a, decl_id_b FROM alike"
+CLASSES_SQL = _SQL.rstrip() + """,
+equal AS (SELECT decl_id_a AS a, decl_id_b AS b FROM alike WHERE o = na AND o = nb),
+class AS (SELECT s.decl_id, coalesce(min(e.a), s.decl_id) AS class_id FROM sizes s LEFT JOIN equal e ON e.b = s.decl_id GROUP BY s.decl_id),
+copies AS (SELECT class_id, count(*) - 1 AS copies FROM class GROUP BY ALL),
+links AS (SELECT c, count(DISTINCT d) AS links FROM (SELECT x.class_id AS c, y.class_id AS d FROM alike JOIN class x ON x.decl_id = decl_id_a JOIN class y ON y.decl_id = decl_id_b UNION ALL SELECT y.class_id, x.class_id FROM alike JOIN class x ON x.decl_id = decl_id_a JOIN class y ON y.decl_id = decl_id_b) WHERE c <> d GROUP BY ALL)
+SELECT c.decl_id, c.class_id, copies, coalesce(links, 0) AS links FROM class c JOIN copies USING (class_id) LEFT JOIN links l ON l.c = c.class_id"""
