@@ -69,8 +69,8 @@ def _ctx_schema(i: DataFrame) -> DataFrame:
 
 
 def _paths(i: DataFrame) -> DataFrame:
-    i = materialize(i, "items")
-    return flows.paths(flows.edges(i, 0.5), i).withColumn("path", F.array_join("path", " -> "))
+    i = materialize(i, "items")  # every table that a plan reads more than once is written once
+    return flows.paths(materialize(flows.edges(i, 0.5), "edges"), i).withColumn("path", F.array_join("path", " -> "))
 
 
 def _compacted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +178,9 @@ def _documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _array_members(spark: SparkSession, folder: str) -> DataFrame:
-    nodes, known = _documents(spark, folder)
+    """Op arrays of stored documents against the catalog whose ordinals' holes are closed."""
+    nodes, _ = _documents(spark, folder)
+    known = _compacted(spark, folder)[1]
     found = nodes.where("type = 'op_array'").select("project", F.col("name").alias("sig_class"), F.expr("try_cast(value AS int)").alias("ordinal"), F.col("key").alias("subject")).where("ordinal IS NOT NULL").distinct()
     return _rule(validate.members(found, known, "op_array_member"))
 
@@ -218,7 +220,7 @@ _QUERIES: dict[str, Query] = {
     "show_attributes": _show(language="python", state="pure", sig_class="sig:any->any"),
     "show_glob": _show(name="re[a-z]*_*"),
     "show_project": _chosen(lambda rows: browse.show(rows, project="harrowgate").where(F.col("kind").isin("function", "method")), (*_SHOWN[2:], "kind"), lambda i: i.select(*_SHOWN)),
-    "show_address": _chosen(lambda rows: browse.show(rows, selector="src.ledger.reconcile"), (*_SHOWN[2:], "group_path"), lambda i: i.select(*_SHOWN)),
+    "show_address": _chosen(lambda rows: browse.show(rows, selector="pkg.member.closure.digest_field.unsealDigitRebate"), (*_SHOWN[2:], "group_path"), lambda i: i.select(*_SHOWN)),
     "o2_search": _chosen(lambda rows: rows.where(C.search_score("ledger") > 0), ("address", "name", "doc"), lambda i: browse.search(i, "ledger")),
     "g6_forward_deps": _over(("address", "deps"), browse.forward),
     "j2_reverse_deps": _parts(browse.reverse),
@@ -243,7 +245,7 @@ _QUERIES: dict[str, Query] = {
     "v11_context_conflicts": _over(("address", "ctx_adapter"), _ctx_schema),
     "a15_levels": _over(("address", "sig_class", "signature"), _levels),
     "j7_edges": _parts(lambda i: flows.edges(i, 0.4)),
-    "g4_sources": _parts(lambda i: flows.sources(flows.edges(i, 0.5))),
+    "g4_sources": _parts(lambda i: flows.sources(materialize(flows.edges(materialize(i, "items"), 0.5), "edges"))),
     "g3_paths": _parts(_paths),
     "o4_flows": _parts(lambda i: flows.flows(_paths(i))),
     "f13_addresses": _addresses,

@@ -32,7 +32,7 @@ QUERIES: dict[str, str] = {
     "f23_trait": ONE + "SELECT project, ordinal, CASE state_capture WHEN 'pure' THEN 'fn' WHEN 'reads_captured' THEN 'Fn' WHEN 'reads_instance' THEN 'Fn' WHEN 'mutates_captured' THEN 'FnMut' WHEN 'mutates_instance' THEN 'FnMut' WHEN 'consumes' THEN 'FnOnce' END AS trait FROM one",
     "f21_entry_points": ONE + f"SELECT project, ordinal, address FROM one WHERE {_ENTRY}",
     "f20_name_tokens": ONE + "SELECT project, ordinal, coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(name, '([A-Z][a-z]+)', ' \\1 ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([0-9]+)', ' \\1 ', 'g'), '[^A-Za-z0-9]+'), lambda w: len(w) > 1), lambda w: lower(w)))), ','), '') AS tokens FROM one",
-    "show_address": ONE + ", e AS (SELECT * FROM one WHERE address = 'src.ledger.reconcile'), l AS (SELECT * FROM one WHERE (group_path = 'src.ledger.reconcile' OR starts_with(group_path, 'src.ledger.reconcile.') OR starts_with(address, 'src.ledger.reconcile.')) AND project NOT IN (SELECT project FROM e)) SELECT project, ordinal, address, name, sig_class FROM e UNION ALL SELECT project, ordinal, address, name, sig_class FROM l",
+    "show_address": ONE + ", e AS (SELECT * FROM one WHERE address = 'pkg.member.closure.digest_field.unsealDigitRebate'), l AS (SELECT * FROM one WHERE (group_path = 'pkg.member.closure.digest_field.unsealDigitRebate' OR starts_with(group_path, 'pkg.member.closure.digest_field.unsealDigitRebate.') OR starts_with(address, 'pkg.member.closure.digest_field.unsealDigitRebate.')) AND project NOT IN (SELECT project FROM e)) SELECT project, ordinal, address, name, sig_class FROM e UNION ALL SELECT project, ordinal, address, name, sig_class FROM l",
     "f32_lines": ONE + "SELECT project, ordinal, lpad(ordinal::VARCHAR, 5, ' ') || '  ' || address || '  ' || sig_class || '  [' || coalesce(language, 'null') || '/' || coalesce(kind, 'null') || '/' || coalesce(state_capture, 'null') || '→' || coalesce(CASE state_capture WHEN 'pure' THEN 'fn' WHEN 'reads_captured' THEN 'Fn' WHEN 'reads_instance' THEN 'Fn' WHEN 'mutates_captured' THEN 'FnMut' WHEN 'mutates_instance' THEN 'FnMut' WHEN 'consumes' THEN 'FnOnce' END, 'null') || ']' || CASE WHEN len(doc) > 0 THEN '  — ' || doc ELSE '' END AS line FROM one",
     "s3_schema_violations": ONE + "SELECT project, coalesce(address, '') AS subject, unnest(list_filter([CASE WHEN ordinal IS NULL THEN 'ordinal missing: null' END, CASE WHEN address IS NULL THEN 'address missing: null' END, CASE WHEN name IS NULL THEN 'name missing: null' END, CASE WHEN kind IS NULL THEN 'kind missing: null' END, CASE WHEN sig_class IS NULL THEN 'sig_class missing: null' END, CASE WHEN kind NOT IN ('function', 'method', 'closure', 'lambda', 'script_main') THEN 'kind not allowed: ' || kind END, CASE WHEN state_capture NOT IN ('pure', 'reads_captured', 'mutates_captured', 'consumes', 'reads_instance', 'mutates_instance') THEN 'state_capture not allowed: ' || state_capture END], lambda m: m IS NOT NULL)) AS message FROM one",
     "show_ordinals": ONE + _SHOW + " WHERE ordinal BETWEEN 3 AND 9 OR ordinal = 12",
