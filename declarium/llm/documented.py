@@ -12,7 +12,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from declarium.sources import columns
@@ -86,13 +86,17 @@ def documented(language: str, text: str) -> list[tuple[trees.Declaration, str]]:
     return [(d, says) for d in found if d.doc and (says := telling(d.doc, d.name))]
 
 
-def _rows(files: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` for each delivered row."""
+_KINDS = {"file_id": "bigint", "stamp": "timestamp_ntz", "name": "string", "start_line": "int", "project": "string", "language": "string", "end_line": "int", "doc": "string", "body_text": "string"}
+
+
+def _rows(files: DataFrame, texts: bool = True) -> DataFrame:
+    """The rows of ``pairs`` for each delivery, and one without a name for each, which tells that there was one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for key, project, file, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, project, file, content, stamp in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                rows.append((key, stamp, None, None, None, None, None, None, None))
                 language = lexers.language_of(file)
                 if language is None or not content:
                     continue
@@ -102,14 +106,20 @@ def _rows(files: DataFrame) -> DataFrame:
                     continue
                 lines = [0, *[m.end() for m in re.finditer("\n", text)]]
                 for d, says in found:
-                    rows.append((key, project, language, d.name, bisect_right(lines, d.name_at), bisect_right(lines, max(d.start, d.end - 1)), says, text[d.start : d.end]))
+                    rows.append((key, stamp, d.name, bisect_right(lines, d.name_at), project, language, bisect_right(lines, max(d.start, d.end - 1)), says, text[d.start : d.end]) if texts else (key, stamp, d.name, bisect_right(lines, d.name_at), None, None, None, None, None))
                 if len(rows) > 2_000:
                     yield _batch(rows)
                     rows = []
             yield _batch(rows)
 
-    rows = columns(files, "file_id", "project", "file", "content").where("file_id IS NOT NULL AND content IS NOT NULL")
-    return rows.mapInArrow(run, "file_id bigint, project string, language string, name string, start_line int, end_line int, doc string, body_text string")
+    rows = columns(files, "file_id", "project", "file", "content", "loaded_at").where("file_id IS NOT NULL").withColumn("loaded_at", F.coalesce(F.col("loaded_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")))
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _KINDS.items()))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The rows of each file's latest delivery."""
+    last = F.max("stamp").over(Window.partitionBy("file_id"))
+    return rows.withColumn("last", last).where("stamp = last AND name IS NOT NULL").drop("last", "stamp")
 
 
 def pairs(files: DataFrame) -> DataFrame:
@@ -117,20 +127,19 @@ def pairs(files: DataFrame) -> DataFrame:
 
     One row per function or method with a body and telling documentation, in files that parse.
     ``start_line`` is the line on which the name stands, from 1. A file that is delivered more than
-    once gives its rows once; should deliveries differ, it gives those of each. Null and empty texts,
-    endings of no known language and rows without an id give no rows.
+    once counts by its latest ``loaded_at``. Null and empty texts, endings of no known language and
+    rows without an id give no rows.
     """
     best = F.max(F.struct("project", "language", "end_line", "doc", "body_text")).alias("r")
-    return _rows(files).groupBy("file_id", "start_line", "name").agg(best).select("file_id", "start_line", "name", "r.*")
+    return _latest(_rows(files)).groupBy("file_id", "start_line", "name").agg(best).select("file_id", "start_line", "name", "r.*")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-    names = ["file_id", "project", "language", "name", "start_line", "end_line", "doc", "body_text"]
-    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "timestamp_ntz": pa.timestamp("us")}
+    cols = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+    return pa.record_batch([pa.array(c, arrow[k]) for c, k in zip(cols, _KINDS.values(), strict=True)], list(_KINDS))
 
 
 def found(files: DataFrame) -> DataFrame:
     """(file_id bigint, start_line int, name string) of ``pairs``."""
-    return _rows(files).select("file_id", "start_line", "name").distinct()
+    return _latest(_rows(files, texts=False)).select("file_id", "start_line", "name").distinct()

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from declarium.sources import columns
@@ -176,7 +176,7 @@ def _item_blocks(items: DataFrame, words: int) -> Iterator[list[tuple[int, np.nd
 
 def _met(documents: DataFrame, indexes: list[Index], least: float) -> DataFrame:
     """(doc_id, item_id, similarity): documents' windows within the radius of an index and at least ``least`` alike, the best of each pair in a document."""
-    docs = columns(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = columns(documents, "doc_id", "text", "updated_at").where("doc_id IS NOT NULL").withColumn("updated_at", F.coalesce(F.col("updated_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")))
     sent = documents.sparkSession.sparkContext.broadcast(indexes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,18 +187,23 @@ def _met(documents: DataFrame, indexes: list[Index], least: float) -> DataFrame:
                 sizes = [len(x) for x in lists]
                 hashes = np.array([h for x in lists for h in x], np.uint64)
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
                 best: dict[tuple[int, int], float] = {}
                 for own in sent.value:
                     m, t = own.candidates(fingerprints(hashes, own.width))
                     inside = row[m] == row[m + own.width - 1] if len(m) else m.astype(bool)
                     m, t = m[inside], t[inside]
-                    for k, item, alike in zip(keys[row[m]].tolist(), own.owner[t].tolist(), own.similarity(hashes, m, t).tolist(), strict=True):
+                    for k, item, alike in zip(row[m].tolist(), own.owner[t].tolist(), own.similarity(hashes, m, t).tolist(), strict=True):
                         if alike >= least and alike > best.get((k, item), 0):
                             best[k, item] = alike
-                yield pa.record_batch([pa.array([k for k, _ in best], pa.int64()), pa.array([i for _, i in best], pa.int64()), pa.array(list(best.values()), pa.float64())], ["doc_id", "item_id", "similarity"])
+                # each delivery gives a row without an item, which tells that there was one
+                at = pa.array([*range(len(sizes)), *(k for k, _ in best)], pa.int64())
+                items = pa.array([*[None] * len(sizes), *(i for _, i in best)], pa.int64())
+                alike = pa.array([*[None] * len(sizes), *best.values()], pa.float64())
+                yield pa.record_batch([part.column(0).take(at), part.column(2).take(at), items, alike], ["doc_id", "stamp", "item_id", "similarity"])
 
-    return docs.mapInArrow(run, "doc_id bigint, item_id bigint, similarity double")
+    found = docs.mapInArrow(run, "doc_id bigint, stamp timestamp_ntz, item_id bigint, similarity double")
+    last = F.max("stamp").over(Window.partitionBy("doc_id"))
+    return found.withColumn("last", last).where("stamp = last AND item_id IS NOT NULL").select("doc_id", "item_id", "similarity")
 
 
 def _united(parts: list[DataFrame], documents: DataFrame) -> DataFrame:
@@ -211,7 +216,7 @@ def _united(parts: list[DataFrame], documents: DataFrame) -> DataFrame:
 def leaks(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """(doc_id bigint, item_id bigint): the document holds ``width`` successive words of the item.
 
-    Each pair comes out once. Null texts, texts under ``width`` words and rows without an id give
+    Each pair comes out once; a document counts by its latest ``updated_at``. Null texts, texts under ``width`` words and rows without an id give
     nothing. Of the windows within the radius those that are equal word for word count; equal windows
     have equal fingerprints, so this form has every such passage whatever the radius.
     """
@@ -238,7 +243,8 @@ def passages(documents: DataFrame, items: DataFrame, width: int = WIDTH, radius:
     return _united(parts, documents)
 
 
-FOUND_SQL = r"""WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+FOUND_SQL = r"""WITH l AS (SELECT doc_id, text, rank() OVER (PARTITION BY doc_id ORDER BY updated_at DESC NULLS LAST) AS r FROM documents WHERE doc_id IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM l WHERE r = 1 AND text IS NOT NULL),
 e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
 places AS (SELECT unnest(generate_series(1, 20000)) AS i),
 dw AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS p FROM d, places WHERE i <= len(w) - 11),

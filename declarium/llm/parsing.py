@@ -22,29 +22,27 @@ from declarium.syntax.parsing import failure
 def judged(files: DataFrame) -> DataFrame:
     """(file_id bigint, project, language string, broken boolean, failure string, token int, tokens int).
 
-    One row per file whose ending is of a known language, however often it is delivered. ``failure``
-    is ``token`` or ``truncated`` for a broken file, ``token`` the place of the failing token from 0.
-    Null and empty texts are valid. Rows without an id are left out. Should deliveries differ, a
-    valid one counts.
+    One row per file whose ending is of a known language, by its latest delivery. ``failure`` is
+    ``token`` or ``truncated`` for a broken file, ``token`` the place of the failing token from 0. Null
+    and empty texts are valid. Rows without an id are left out.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, project, file, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for key, project, file, text, stamp in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 language = lexers.language_of(file)
-                if language is None:
-                    continue
-                found = failure(language, text) if text else None
+                found = failure(language, text) if text and language else None
                 kind, at, n = found or (None, None, None)
-                out.append((key, project, language, found is not None, kind, at, n))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file_id", "project", "language", "broken", "failure", "token", "tokens"])
-
-    rows = columns(files, "file_id", "project", "file", "content").where("file_id IS NOT NULL")
-    found = rows.mapInArrow(run, "file_id bigint, project string, language string, broken boolean, failure string, token int, tokens int")
-    return found.groupBy("file_id").agg(F.min(F.struct("broken", "project", "language", "failure", "token", "tokens")).alias("r")).select("file_id", "r.project", "r.language", "r.broken", "r.failure", "r.token", "r.tokens")
+                out.append((key, stamp, project, language, found is not None, kind, at, n))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.timestamp("us"), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file_id", "stamp", "project", "language", "broken", "failure", "token", "tokens"])
+
+    rows = columns(files, "file_id", "project", "file", "content", "loaded_at").where("file_id IS NOT NULL").withColumn("loaded_at", F.col("loaded_at").cast("timestamp_ntz"))
+    found = rows.mapInArrow(run, "file_id bigint, stamp timestamp_ntz, project string, language string, broken boolean, failure string, token int, tokens int")
+    best = F.max(F.struct("stamp", "broken", "project", "language", "failure", "token", "tokens")).alias("r")
+    return found.groupBy("file_id").agg(best).where("r.language IS NOT NULL").select("file_id", "r.project", "r.language", "r.broken", "r.failure", "r.token", "r.tokens")
 
 
 def found(files: DataFrame) -> DataFrame:

@@ -144,24 +144,19 @@ def kind_of(file: str | None, text: str | None) -> tuple[str, str] | None:
 def report(files: DataFrame) -> DataFrame:
     """(file_id bigint, project, kind, evidence string) of each file that is not written by hand.
 
-    Each file comes out once, however often it is delivered (the least kind and evidence, should
-    deliveries differ); rows without an id are left out.
+    Each file comes out once, judged by its latest delivery (the greatest kind and evidence among
+    ties); rows without an id are left out.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, projects, kinds, evidence = [], [], [], []
-            for key, project, file, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if found := kind_of(file, text):
-                    ids.append(key)
-                    projects.append(project)
-                    kinds.append(found[0])
-                    evidence.append(found[1])
-            yield pa.record_batch([pa.array(ids, pa.int64()), *[pa.array(x, pa.string()) for x in (projects, kinds, evidence)]], ["file_id", "project", "kind", "evidence"])
-
-    rows = columns(files, "file_id", "project", "file", "content").where("file_id IS NOT NULL")
-    found = rows.mapInArrow(run, "file_id bigint, project string, kind string, evidence string")
-    return found.groupBy("file_id").agg(F.min(F.struct("project", "kind", "evidence")).alias("r")).select("file_id", "r.*")
+            found = [kind_of(file, text) or (None, None) for file, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            kinds, evidence = ([f[k] for f in found] for k in range(2))
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(4), pa.array(kinds, pa.string()), pa.array(evidence, pa.string())], ["file_id", "project", "stamp", "kind", "evidence"])
+
+    rows = columns(files, "file_id", "project", "file", "content", "loaded_at").where("file_id IS NOT NULL").withColumn("loaded_at", F.col("loaded_at").cast("timestamp_ntz"))
+    found = rows.mapInArrow(run, "file_id bigint, project string, stamp timestamp_ntz, kind string, evidence string")
+    return found.groupBy("file_id").agg(F.max(F.struct("stamp", "kind", "evidence", "project")).alias("r")).where("r.kind IS NOT NULL").select("file_id", "r.project", "r.kind", "r.evidence")
 
 
 def found(files: DataFrame) -> DataFrame:

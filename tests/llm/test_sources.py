@@ -159,3 +159,18 @@ def test_notices_and_folders():
     assert provenance.kind_of("external/a.py", "def f():\n    return g(1)\n") is None
     assert provenance.kind_of("external/lib/a.py", "def f():\n    return g(1)\n") == ("copied", "path")
     assert provenance.kind_of("a.py", "# looks for files that say do not edit\ndef f():\n    return g(1)\n") is None
+
+
+def test_the_latest_delivery_decides(spark):
+    """A later delivery that is valid, written by hand, or without functions takes the place of an earlier one."""
+    from datetime import datetime
+
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    good = 'def f():\n    """Keeps the rows that are still needed."""\n'
+    made = "# Code generated by a tool. DO NOT EDIT.\nx = 1\n"
+    rows = [(1, "p", "a.py", "python", "def (:\n", early, None, None), (1, "p", "a.py", "python", good, late, None, None), (2, "p", "b.py", "python", good, early, None, None), (2, "p", "b.py", "python", made, late, None, None), (3, "p", "c.py", "python", made, late, None, None), (3, "p", "c.py", "python", "y = (\n", early, None, None), (3, "p", "c.py", "python", "y = g(1)\n", datetime(2024, 1, 3), None, None)]
+    df = spark.createDataFrame(rows, FILES)
+    assert [r.file_id for r in parsing.found(df).collect()] == []
+    assert [tuple(r) for r in documented.found(df).collect()] == [(1, 1, "f")]
+    assert [r.name for r in documented.pairs(df).collect()] == ["f"]
+    assert [r.file_id for r in provenance.found(df).collect()] == [2]
