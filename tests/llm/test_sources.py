@@ -166,7 +166,7 @@ def test_the_latest_delivery_decides(spark):
     from datetime import datetime
 
     early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
-    good = 'def f():\n    """Keeps the rows that are still needed."""\n'
+    good = 'def f():\n    """Keeps the rows that are still needed."""\n    return keep(rows, limit) or fallback(rows, limit)\n'
     made = "# Code generated by a tool. DO NOT EDIT.\nx = 1\n"
     rows = [(1, "p", "a.py", "python", "def (:\n", early, None, None), (1, "p", "a.py", "python", good, late, None, None), (2, "p", "b.py", "python", good, early, None, None), (2, "p", "b.py", "python", made, late, None, None), (3, "p", "c.py", "python", made, late, None, None), (3, "p", "c.py", "python", "y = (\n", early, None, None), (3, "p", "c.py", "python", "y = g(1)\n", datetime(2024, 1, 3), None, None)]
     df = spark.createDataFrame(rows, FILES)
