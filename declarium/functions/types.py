@@ -40,22 +40,23 @@ class Table:
     bare: bool = False
 
 
-def _kinds(**names: str) -> dict[str, str]:
-    return {n: kind for kind, text in names.items() for n in text.split()}
+def _kinds(names: dict[str, list[str]]) -> dict[str, str]:
+    """The kind of each name."""
+    return {n: kind for kind, held in names.items() for n in held}
 
 
 PYTHON = Table(
     "any",
     "[",
     {"str": "str", "int": "i64", "float": "f64", "bool": "bool", "bytes": "bytes", "bytearray": "bytes", "None": "unit", "NoneType": "unit", "Any": "any", "object": "any", "any": "any", "list": "list<any>", "dict": "map<any,any>", "set": "set<any>", "tuple": "tuple<>", "Callable": "fn", "callable": "fn"},
-    _kinds(list="list List Sequence MutableSequence", map="dict Dict Mapping MutableMapping OrderedDict defaultdict", set="set Set frozenset FrozenSet MutableSet", tuple="tuple Tuple", option="Optional", union="Union", iter="Iterator Iterable Generator AsyncIterator AsyncIterable AsyncGenerator", fn="Callable", last="Awaitable Coroutine"),
+    _kinds({"list": ["list", "List", "Sequence", "MutableSequence"], "map": ["dict", "Dict", "Mapping", "MutableMapping", "OrderedDict", "defaultdict"], "set": ["set", "Set", "frozenset", "FrozenSet", "MutableSet"], "tuple": ["tuple", "Tuple"], "option": ["Optional"], "union": ["Union"], "iter": ["Iterator", "Iterable", "Generator", "AsyncIterator", "AsyncIterable", "AsyncGenerator"], "fn": ["Callable"], "last": ["Awaitable", "Coroutine"]}),
     frozenset(["None", "NoneType"]),
 )
 SCRIPT = Table(
     "any",
     "<",
     {"string": "str", "number": "f64", "boolean": "bool", "void": "unit", "undefined": "unit", "null": "unit", "any": "any", "unknown": "any", "never": "any", "object": "any", "bigint": "i64", "symbol": "any", "Function": "fn"},
-    _kinds(list="Array ReadonlyArray []", map="Record Map ReadonlyMap", set="Set ReadonlySet", first="Promise Partial Required Readonly"),
+    _kinds({"list": ["Array", "ReadonlyArray", "[]"], "map": ["Record", "Map", "ReadonlyMap"], "set": ["Set", "ReadonlySet"], "first": ["Promise", "Partial", "Required", "Readonly"]}),
     frozenset(["null", "undefined"]),
     separator="",
 )
@@ -63,14 +64,14 @@ GO = Table(
     "unit",
     "",
     {"string": "str", "error": "error", "bool": "bool", "float32": "f64", "float64": "f64", "any": "any", "interface{}": "any", "func": "fn", **dict.fromkeys("int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr byte rune".split(), "i64")},
-    _kinds(list="[]", map="map"),
+    _kinds({"list": ["[]"], "map": ["map"]}),
     separator="",
 )
 RUST = Table(
     "unit",
     "<",
     {"String": "str", "str": "str", "char": "str", "bool": "bool", "f32": "f64", "f64": "f64", "()": "unit", "fn": "fn", **dict.fromkeys("i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize".split(), "i64")},
-    _kinds(list="Vec VecDeque", map="HashMap BTreeMap", set="HashSet BTreeSet", option="Option", result="Result", first="Box Rc Arc Cell RefCell Mutex RwLock Pin Cow"),
+    _kinds({"list": ["Vec", "VecDeque"], "map": ["HashMap", "BTreeMap"], "set": ["HashSet", "BTreeSet"], "option": ["Option"], "result": ["Result"], "first": ["Box", "Rc", "Arc", "Cell", "RefCell", "Mutex", "RwLock", "Pin", "Cow"]}),
     separator="",
 )
 JAVA = Table(
@@ -83,7 +84,7 @@ JAVA = Table(
         **dict.fromkeys("Exception Throwable Error RuntimeException IOException".split(), "error"),
         "boolean": "bool", "Boolean": "bool", "void": "unit", "Void": "unit", "Object": "any", "byte[]": "bytes", "ByteBuffer": "bytes", "Runnable": "fn",
     },
-    _kinds(list="List ArrayList LinkedList Collection Vector Queue Deque ArrayDeque []", map="Map HashMap TreeMap LinkedHashMap Hashtable ConcurrentMap ConcurrentHashMap SortedMap NavigableMap", set="Set HashSet TreeSet LinkedHashSet EnumSet SortedSet NavigableSet", option="Optional OptionalInt OptionalLong OptionalDouble", iter="Iterator Iterable Stream IntStream LongStream DoubleStream Enumeration", fn="Function BiFunction Supplier Consumer BiConsumer Predicate BiPredicate UnaryOperator BinaryOperator Callable", first="CompletableFuture Future AtomicReference"),
+    _kinds({"list": ["List", "ArrayList", "LinkedList", "Collection", "Vector", "Queue", "Deque", "ArrayDeque", "[]"], "map": ["Map", "HashMap", "TreeMap", "LinkedHashMap", "Hashtable", "ConcurrentMap", "ConcurrentHashMap", "SortedMap", "NavigableMap"], "set": ["Set", "HashSet", "TreeSet", "LinkedHashSet", "EnumSet", "SortedSet", "NavigableSet"], "option": ["Optional", "OptionalInt", "OptionalLong", "OptionalDouble"], "iter": ["Iterator", "Iterable", "Stream", "IntStream", "LongStream", "DoubleStream", "Enumeration"], "fn": ["Function", "BiFunction", "Supplier", "Consumer", "BiConsumer", "Predicate", "BiPredicate", "UnaryOperator", "BinaryOperator", "Callable"], "first": ["CompletableFuture", "Future", "AtomicReference"]}),
     bare=True,
 )
 TABLES = {"python": PYTHON, "javascript": SCRIPT, "typescript": SCRIPT, "go": GO, "rust": RUST, "java": JAVA}
@@ -258,6 +259,22 @@ def _container(kind: str, args: list[Tree], table: Table) -> str:
     return f"{kind}<{nth(0)}>"
 
 
+_REGISTERED: dict[str, Table] = {}
+
+
+def register(language: str, scalars: dict[str, str], kinds: dict[str, list[str]], missing: str = "any", brackets: str = "<") -> None:
+    """Adds or replaces a language's types: scalars by name, and the names of each kind of container."""
+    _adopt({language: Table(missing, brackets, scalars, _kinds(kinds))})
+
+
+def _adopt(tables: dict[str, Table]) -> None:
+    """Makes registered tables known in this process."""
+    if any(TABLES.get(k) != v for k, v in tables.items()):
+        _REGISTERED.update(tables)
+        TABLES.update(tables)
+        normalize.cache_clear()
+
+
 @lru_cache(maxsize=100_000)
 def normalize(raw: str | None, language: str | None) -> str:
     """A written type in the vocabulary; what cannot be read, or names what no name may hold, is ``any``."""
@@ -314,11 +331,18 @@ def parameter(raw: str | None, kind: str | None, language: str | None) -> str:
 _OUT = StructType([StructField("params", ArrayType(StringType())), StructField("returns", StringType())])
 
 
-@F.pandas_udf(_OUT)
-def _signature_types(raws: pd.Series, kinds: pd.Series, language: pd.Series, returns: pd.Series, known: pd.Series) -> pd.DataFrame:
-    params = [[parameter(r, k, lang) for r, k in zip(rs, ks, strict=True)] for rs, ks, lang in zip(raws, kinds, language, strict=True)]
-    back = [n if n else normalize(r, lang) for r, lang, n in zip(returns, language, known, strict=True)]
-    return pd.DataFrame({"params": params, "returns": back})
+def _signature_types():
+    """The function that types signatures; registered tables go to the workers with it."""
+    known_tables = dict(_REGISTERED)
+
+    @F.pandas_udf(_OUT)
+    def typed(raws: pd.Series, kinds: pd.Series, language: pd.Series, returns: pd.Series, known: pd.Series) -> pd.DataFrame:
+        _adopt(known_tables)
+        params = [[parameter(r, k, lang) for r, k in zip(rs, ks, strict=True)] for rs, ks, lang in zip(raws, kinds, language, strict=True)]
+        back = [n if n else normalize(r, lang) for r, lang, n in zip(returns, language, known, strict=True)]
+        return pd.DataFrame({"params": params, "returns": back})
+
+    return typed
 
 
 def normalized(decls: DataFrame) -> DataFrame:
@@ -328,7 +352,7 @@ def normalized(decls: DataFrame) -> DataFrame:
     so nothing is shuffled.
     """
     raw = F.coalesce(F.col("params"), F.array().cast("array<struct<name:string,raw_type:string,default_value:string,kind:string>>"))
-    types = _signature_types(F.transform(raw, lambda p: p["raw_type"]), F.transform(raw, lambda p: F.coalesce(p["kind"], F.lit("positional"))), F.col("language"), F.col("returns_raw"), F.col("returns_norm"))
+    types = _signature_types()(F.transform(raw, lambda p: p["raw_type"]), F.transform(raw, lambda p: F.coalesce(p["kind"], F.lit("positional"))), F.col("language"), F.col("returns_raw"), F.col("returns_norm"))
     out = decls.withColumn("_raw", raw).withColumn("_types", types)
     joined = F.transform(F.arrays_zip("_raw", F.col("_types.params").alias("norm")), lambda z: F.struct(z["_raw"]["name"].alias("name"), z["_raw"]["raw_type"].alias("raw_type"), z["norm"].alias("norm_type"), z["_raw"]["default_value"].alias("default_value"), z["_raw"]["kind"].alias("kind")))
     returns = F.struct(F.col("returns_raw").alias("raw_type"), F.col("_types.returns").alias("norm_type"))

@@ -1,5 +1,5 @@
 """Sources: tables, catalogs, source trees."""
 
-from declarium.sources.tables import checkpoint_dir, columns, latest, materialize, table
+from declarium.sources.tables import checkpoint_dir, columns, latest, materialize, release, table
 
-__all__ = ["checkpoint_dir", "columns", "latest", "materialize", "table"]
+__all__ = ["checkpoint_dir", "columns", "latest", "materialize", "release", "table"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Tables written by ``materialize``, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,13 +66,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="declarium-")
+        folder = tempfile.mkdtemp(prefix="declarium-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = "file://" + folder
     return _LOCAL[app]
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The table stays until ``release``, as plans that are not run yet may read it.
+    """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialize`` wrote in this application, once the queries that read them have run; gives their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        target = make(p)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

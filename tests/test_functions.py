@@ -86,3 +86,26 @@ def test_selectors():
     assert C.parse_selector("pkg.mod") == "pkg.mod"
     with pytest.raises(ValueError, match="descending"):
         C.parse_selector("9-3")
+
+
+def test_registered_types(spark):
+    """A language's types can be added; workers know them too."""
+    from declarium.functions import types
+
+    types.register("kotlin", {"Int": "i64", "String": "str"}, {"list": ["List", "MutableList"], "option": ["Maybe"]})
+    assert normalize("List<Maybe<Int>>", "kotlin") == "list<option<i64>>"
+    param = "struct<name:string,raw_type:string,default_value:string,kind:string>"
+    df = spark.createDataFrame([([("a", "MutableList<String>", None, "positional")], "kotlin", "Int", None, False)], f"params array<{param}>, language string, returns_raw string, returns_norm string, is_async boolean")
+    row = types.normalized(df).head().signature
+    assert (row.params[0].norm_type, row.returns.norm_type) == ("list<str>", "i64")
+
+
+def test_written_tables_can_be_released(spark):
+    from declarium.sources import materialize, release
+
+    held = materialize(spark.range(3).toDF("x"), "some")
+    path = held.inputFiles()[0].removeprefix("file://")
+    assert held.count() == 3 and __import__("os").path.exists(path)
+    assert release(spark) >= 1
+    assert not __import__("os").path.exists(path)
+    assert release(spark) == 0
