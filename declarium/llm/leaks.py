@@ -114,10 +114,9 @@ class Index:
             filt[b & np.uint64((1 << 20) - 1)] = True
             self.blocks.append((b[order], order, filt))
         # a shingle weighs the less the more items hold it
-        self.heard: dict[int, int] = {}
-        for _, h in items:
-            for s in np.unique(_shingles(h)).tolist() if len(h) >= SHINGLE else ():
-                self.heard[s] = self.heard.get(s, 0) + 1
+        held = [np.unique(_shingles(h)) for _, h in items if len(h) >= SHINGLE]
+        self.known, number = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        self.weights = 1.0 / number
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window) of all pairs within the radius."""
@@ -137,17 +136,41 @@ class Index:
         pairs = np.unique(np.stack([np.concatenate(mine or [none]), np.concatenate(theirs or [none])]), axis=1)
         return pairs[0], pairs[1]
 
+    def weigh(self, shingles: np.ndarray) -> np.ndarray:
+        """Weights of shingles; one that no item holds weighs as one that one item holds."""
+        if not len(self.known):
+            return np.ones(shingles.shape)
+        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
+        return np.where(self.known[at] == shingles, self.weights[at], 1.0)
+
     def similarity(self, hashes: np.ndarray, m: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Weight of the shingles in both windows over that of the shingles in either; equal windows have 1."""
+        """Weight of the shingles in both windows over that of the shingles in either; 1 for windows equal word for word, and only for them."""
         out = np.empty(len(m))
-        weigh = self.heard.get
-        for k, (i, j) in enumerate(zip(m.tolist(), t.tolist(), strict=True)):
-            mine, theirs = hashes[i : i + self.width], self.words[j]
-            if np.array_equal(mine, theirs):
-                out[k] = 1.0
-                continue
-            a, b = set(_shingles(mine).tolist()), set(_shingles(theirs).tolist())
-            out[k] = sum(1.0 / weigh(s, 1) for s in a & b) / max(sum(1.0 / weigh(s, 1) for s in a | b), 1e-9)
+        n = self.width - SHINGLE + 1
+        if not len(m):
+            return out
+        mine = np.lib.stride_tricks.sliding_window_view(_shingles(hashes), n)
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, self.width)
+        column = np.arange(n, dtype=np.uint64)
+        for lo in range(0, len(m), 1 << 12):
+            sides, weights = [], []
+            theirs = _shingles(self.words[t[lo : lo + (1 << 12)]].T).T
+            for k, side in enumerate((mine[m[lo : lo + (1 << 12)]], theirs)):
+                rows = np.sort(side, axis=1)
+                again = np.zeros(rows.shape, bool)
+                again[:, 1:] = rows[:, 1:] == rows[:, :-1]
+                w = np.where(again, 0.0, self.weigh(rows))
+                # a repeated shingle counts once: the others become values that nothing else has
+                sides.append(np.where(again, column + np.uint64(k * n), rows))
+                weights.append(w)
+            values, w = np.hstack(sides), np.hstack(weights)
+            order = np.argsort(values, axis=1, kind="stable")
+            values, w = np.take_along_axis(values, order, 1), np.take_along_axis(w, order, 1)
+            common = np.where(values[:, 1:] == values[:, :-1], w[:, 1:], 0.0).sum(axis=1)
+            alike = common / np.maximum(w.sum(axis=1) - common, 1e-9)
+            # the same shingles may stand in another succession
+            equal = (windows[m[lo : lo + (1 << 12)]] == self.words[t[lo : lo + (1 << 12)]]).all(axis=1)
+            out[lo : lo + (1 << 12)] = np.where(equal, 1.0, np.minimum(alike, 1 - 1e-9))
         return out
 
 

@@ -89,6 +89,34 @@ def test_fingerprints_within_the_radius_meet():
     assert len(base.candidates(rng.integers(0, 2**63, 1000).astype(np.uint64))[0]) == 0
 
 
+def test_weighted_similarity_against_sets():
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [words(rng, 24) for _ in range(12)]
+    items = [(i, np.array(leaks.word_hashes(t), np.uint64)) for i, t in enumerate(texts)]
+    index = leaks.Index(items, 24, 64)
+    document = np.array(leaks.word_hashes(words(rng, 40) + " " + texts[3] + " " + words(rng, 30)), np.uint64)
+    m, t = index.candidates(leaks.fingerprints(document, 24))
+    assert len(m) == (len(document) - 23) * 12  # every pair is within 64 bits
+    held = [set(leaks._shingles(h).tolist()) for _, h in items]
+
+    def weight(shingles):
+        return sum(1 / max(1, sum(s in h for h in held)) for s in shingles)
+
+    for i, j, alike in zip(m.tolist(), t.tolist(), index.similarity(document, m, t).tolist(), strict=True):
+        a, b = set(leaks._shingles(document[i : i + 24]).tolist()), held[index.owner[j]]
+        assert alike == pytest.approx(weight(a & b) / weight(a | b))
+        assert (alike == 1.0) == (document[i : i + 24].tolist() == index.words[j].tolist())
+
+
+def test_a_passage_is_a_succession(spark):
+    """The same pairs of words in another order are no passage."""
+    one, other = "a b a c a d a e a f a g a", "a c a b a d a e a f a g a"
+    held = spark.createDataFrame([(1, one)], "item_id bigint, text string")
+    assert [tuple(r) for r in leaks.leaks(docs(spark, [(1, one, "en"), (2, other, "en")]), held).collect()] == [(1, 1)]
+
+
 def test_edited_passages(spark):
     """The radius finds passages with a word changed in every twelve, which hold no equal passage."""
     rng = random.Random(11)
