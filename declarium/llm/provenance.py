@@ -43,7 +43,8 @@ _PATHS = [
     ("generated", re.compile(r"(?:_pb2|_pb2_grpc|_generated|\.pb|\.generated|\.gen|\.g|\.designer)\.\w+$")),
     ("data", re.compile(r"(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|go\.sum|gemfile\.lock|composer\.lock)$")),
 ]
-_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)\b")
+#: Literals; a text in three quotes (group 1) is documentation as a rule, and counts as neither literal nor code.
+_LITERAL = re.compile(r"(\"{3}(?s:.*?)\"{3}|'{3}(?s:.*?)'{3})|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b(?:0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)\b")
 #: Share of a text's solid characters in literals and what parts them from which it is data; mean
 #: length of its lines, weighed by their characters, and share of blanks of a minified script.
 DATA_SHARE, MINIFIED_LINE, MINIFIED_BLANKS = 0.65, 400, 0.08
@@ -134,9 +135,12 @@ def kind_of(file: str | None, text: str | None) -> tuple[str, str] | None:
     # a text that is mainly literals has one at least on every other line or is one line
     literals = separators = 0
     for m in _LITERAL.finditer(text):
+        if m.group(1):
+            solid -= len("".join(m.group(1).split()))
+            continue
         literals += m.end() - m.start()
         separators += text[m.end() : m.end() + 1] in ",;:"
-    if literals + separators >= DATA_SHARE * solid:
+    if solid > 0 and literals + separators >= DATA_SHARE * solid:
         return "data", "content"
     return None
 

@@ -174,3 +174,8 @@ def test_the_latest_delivery_decides(spark):
     assert [tuple(r) for r in documented.found(df).collect()] == [(1, 1, "f")]
     assert [r.name for r in documented.pairs(df).collect()] == ["f"]
     assert [r.file_id for r in provenance.found(df).collect()] == [2]
+
+
+def test_documentation_is_no_data():
+    assert provenance.kind_of("a.py", 'def f():\n    """Keeps the rows that are still needed, and drops the others at once."""\n') is None
+    assert provenance.kind_of("a.py", "ROWS = [" + ", ".join(f'"row {i}"' for i in range(40)) + "]\n") == ("data", "content")
