@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from declarium.sources import columns, latest
+from declarium.sources import columns, latest, materialize
 
 NODE_TYPES = ("document", "item", "param", "group", "op_array", "pipeline", "edge")
 NODES = "index_id bigint, type string, pre int, post int, level int, key string, name string, kind string, value string"
@@ -157,8 +157,8 @@ def _batch(ids: list, rows: list[list]) -> pa.RecordBatch:
 
 
 def tables(index_docs: DataFrame) -> dict[str, DataFrame]:
-    """The node table of each type, over one labelling."""
-    all_nodes = nodes(index_docs)
+    """The node table of each type, over one labelling, which is written once."""
+    all_nodes = materialize(nodes(index_docs), "nodes")
     return {t: all_nodes.where(F.col("type") == t).drop("type") for t in NODE_TYPES}
 
 
@@ -170,10 +170,13 @@ def links(labelled: DataFrame) -> DataFrame:
     the only one whose interval can hold it. One shuffle and one sort, linear in the nodes.
     """
     n = columns(labelled, "index_id", "type", "pre", "post", "level", "key")
-    as_child = n.select("index_id", "level", "pre", F.col("type").alias("child_type"), F.col("key").alias("child_key"), F.lit(None).cast("struct<post:int,type:string,key:string>").alias("p"))
-    as_parent = n.where("post > pre").select("index_id", (F.col("level") + 1).alias("level"), "pre", F.lit(None).cast("string").alias("child_type"), F.lit(None).cast("string").alias("child_key"), F.struct("post", "type", "key").alias("p"))
+    none, no_parent = F.lit(None).cast("string"), F.lit(None).cast("struct<post:int,type:string,key:string>")
+    as_child = F.struct(F.col("level").alias("level"), F.col("type").alias("child_type"), F.col("key").alias("child_key"), no_parent.alias("p"))
+    as_parent = F.struct((F.col("level") + 1).alias("level"), none.alias("child_type"), none.alias("child_key"), F.struct("post", "type", "key").alias("p"))
+    # both from one row, so that documents are parsed once
+    roles = F.when(F.col("post") > F.col("pre"), F.array(as_child, as_parent)).otherwise(F.array(as_child))
     order = Window.partitionBy("index_id", "level").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = as_child.unionByName(as_parent).withColumn("p", F.last("p", ignorenulls=True).over(order))
+    found = n.select("index_id", "pre", F.explode(roles).alias("r")).select("index_id", "pre", "r.*").withColumn("p", F.last("p", ignorenulls=True).over(order))
     kept = found.where("child_type IS NOT NULL AND pre <= p.post")
     return kept.select("index_id", "child_type", "child_key", F.col("p.type").alias("parent_type"), F.col("p.key").alias("parent_key"))
 
