@@ -30,7 +30,15 @@ def duplicate_ordinals(raw: DataFrame) -> DataFrame:
 
 def retired_in_use(catalog: DataFrame, retired: DataFrame) -> DataFrame:
     """V3: items whose ordinal is retired (project, ordinal)."""
-    hit = catalog.join(retired.select("project", "ordinal").distinct(), ["project", "ordinal"], "left_semi")
+    return _retired(catalog.join(retired.select("project", "ordinal").distinct(), ["project", "ordinal"], "left_semi"))
+
+
+def unheld_in_use(catalog: DataFrame, held: DataFrame) -> DataFrame:
+    """V3 where every ordinal that ``held`` (project, ordinal) lacks counts as retired: the holes are never listed, however wide."""
+    return _retired(catalog.join(held.select("project", "ordinal"), ["project", "ordinal"], "left_anti"))
+
+
+def _retired(hit: DataFrame) -> DataFrame:
     return _rows(hit, "retired_ordinal", F.col("ordinal"), F.format_string("ordinal %d ('%s') is in retired_ordinals", F.col("ordinal"), F.col("address")))
 
 
